@@ -104,27 +104,3 @@ def message_body(message: Column | str, type_: Column | str) -> Column:
         _col(type_) == "auto_resolution",
         F.replace(message, F.lit(S.AUTO_RESOLUTION_PREFIX), F.lit("")),
     ).otherwise(message)
-
-
-def terms(
-    text: Column | str, stop_words: Iterable[str] = (), max_n: int = 2, lower: bool = True
-) -> Column:
-    """Array of 1..max_n-gram terms: words of two or more letters, digits or underscores,
-    stop words removed before the n-grams are built."""
-    text = F.coalesce(_col(text), F.lit(""))
-    words = F.regexp_extract_all(
-        F.lower(text) if lower else text, F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)
-    )
-    stop = sorted(set(stop_words))
-    if stop:
-        words = F.filter(words, lambda w: ~w.isin(stop))
-    grams = [words]
-    for n in range(2, max_n + 1):
-        # zip n shifted copies; the last n-1 positions are cut, so no gram is incomplete
-        shifted = [F.slice(words, i + 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-                   for i in range(n)]
-        joined = shifted[0]
-        for s in shifted[1:]:
-            joined = F.zip_with(joined, s, lambda a, b: F.concat_ws(" ", a, b))
-        grams.append(joined)
-    return F.concat(*grams) if len(grams) > 1 else grams[0]

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import materialize, spread_small
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
@@ -105,15 +105,6 @@ def _shape(df: DataFrame) -> tuple[int, int]:
     return int(n or 0), int(dim or 0)
 
 
-def _spread(df: DataFrame, n: int, min_rows: int = 64) -> DataFrame:
-    """A small input is often one file split; give its rows to all cores. Large inputs have
-    splits enough and are left where they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if n > 1_000_000:
-        return df
-    return df.repartition(max(1, min(cores, n // min_rows)))
-
-
 # -- public --------------------------------------------------------------------
 
 def knn(
@@ -228,7 +219,7 @@ def _knn_broadcast(q, b, k, min_sim, exclude_self) -> DataFrame:
                 })
 
     todo = q.select("id", "vec")
-    return _spread(todo, todo.count()).mapInPandas(probe, schema)
+    return spread_small(todo, todo.count()).mapInPandas(probe, schema)
 
 
 # -- large base --------------------------------------------------------------------
@@ -371,8 +362,9 @@ def _compare(q: DataFrame, b: DataFrame, keep: int, block_rows: int) -> DataFram
     keys = ["g", "pq", "pb"]
     left = flat_q.join(plan, "g").withColumn("pq", own("nq")).withColumn("pb", every("nb"))
     right = flat_b.join(plan, "g").withColumn("pb", own("nb")).withColumn("pq", every("nq"))
-    left = left.select(*keys, "h1", "h2", "vec", "floor")
-    right = right.select(*keys, "ids", "vec")
+    # fresh names: both sides may come from one frame
+    left = left.select(*keys, "h1", "h2", F.col("vec").alias("qvec"), "floor")
+    right = right.select(*[F.col(c).alias(c) for c in keys], "ids", F.col("vec").alias("bvec"))
     id_type = b.schema["ids"].dataType.simpleString()
 
     def piece(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
@@ -380,7 +372,7 @@ def _compare(q: DataFrame, b: DataFrame, keep: int, block_rows: int) -> DataFram
         if len(qs) and len(bs):
             # rows in id order: among equal similarities the lower id survives
             bs = bs.iloc[np.argsort([i[0] for i in bs["ids"]], kind="stable")]
-            qm, bm = _unit(qs["vec"]), _unit(bs["vec"])
+            qm, bm = _unit(qs["qvec"]), _unit(bs["bvec"])
             floor, ids = qs["floor"].to_numpy(), bs["ids"].to_numpy()
             h1, h2 = qs["h1"].to_numpy(), qs["h2"].to_numpy()
             for part in _steps(len(qm), len(bm)):
