@@ -1 +1,137 @@
-"""To be filled."""
+"""Streams over the tables, run until all input is used; each must equal the batch result."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from .. import sources as src
+from .. import streaming as st
+from ..operators import events as ev
+from ..session import ROCKSDB, scratch_path
+from ..streaming.agents import TRIAGE_LOG
+from . import sql as X
+from .catalog import AS_OF, query
+from .q_events import _CAND, COMM, ESC
+from .q_register import REG
+
+
+def _stream(spark, d, name):
+    """A table's files as a stream."""
+    schema = src.table(spark, d, name).schema
+    return st.file_stream(spark, d, schema, glob=f"{name}.parquet")
+
+
+def _sink(spark, writer_of, name):
+    """Run a stream into Parquet files under the shared folder and return the rows."""
+    out = scratch_path(spark, name)
+    st.run_available(writer_of(out), scratch_path(spark, name + "-ck"))
+    return out
+
+
+class _Live:
+    """The register over a stream of events: the same projections, on streaming frames."""
+
+    def __init__(self, spark, d):
+        self.read = self
+        self.spark, self.d = spark, d
+
+    def parquet(self, path):
+        name = path.rsplit("/", 1)[1].removesuffix(".parquet")
+        return _stream(self.spark, self.d, name)
+
+
+def _register_stream(spark, d):
+    return src.register(_Live(spark, d), d)
+
+
+@query(REG + """, w AS (SELECT max(created_date) - INTERVAL 1 HOUR AS w FROM reg),
+day AS (SELECT date_trunc('day', created_date)::TIMESTAMP AS day, channel, count(*) AS count
+  FROM reg WHERE NOT is_duplicate GROUP BY 1, 2)
+SELECT epoch_us(day) AS day_us, channel, count FROM day
+WHERE day + INTERVAL 1 DAY <= (SELECT w FROM w)""")
+def stream_channel_counts(spark, d):
+    """Closed days only: append mode holds back what the watermark has not passed."""
+    live = st.channel_counts_live(_register_stream(spark, d))
+    out = _sink(spark, lambda p: live.writeStream.format("parquet").option("path", p), "live")
+    return spark.read.parquet(out).select(F.unix_micros("window_start").alias("day_us"),
+                                          "channel", "count")
+
+
+def _last_update(spark, live, name):
+    """An aggregate in complete mode, each batch replacing the table before."""
+    out = scratch_path(spark, name)
+
+    def save(df, batch_id):
+        df.write.mode("overwrite").parquet(out)
+
+    st.run_available(live.writeStream.outputMode("complete").foreachBatch(save),
+                     scratch_path(spark, name + "-ck"))
+    return spark.read.parquet(out)
+
+
+@query(REG + "SELECT status, severity, count(*) AS count FROM reg WHERE NOT is_duplicate "
+       "GROUP BY 1, 2")
+def stream_status_counts(spark, d):
+    return _last_update(spark, st.status_counts_live(_register_stream(spark, d)), "status")
+
+
+@query(X.with_(X.ESCREQ) + "SELECT complaint_id, seq, escalated_to FROM escreq QUALIFY "
+       "row_number() OVER (PARTITION BY complaint_id ORDER BY seq DESC) = 1")
+def stream_latest_escalation(spark, d):
+    live = src.escalation_requests(_Live(spark, d), d)
+    return _last_update(spark, st.latest_live(live), "latest").select(
+        "complaint_id", "seq", "escalated_to")
+
+
+@query(ESC + "SELECT complaint_id, seq FROM escreq WHERE complaint_id NOT IN "
+       "(SELECT complaint_id FROM reg)")
+def stream_rejected_events(spark, d):
+    bad = st.rejected_live(src.escalation_requests(_Live(spark, d), d), src.register(spark, d))
+    out = _sink(spark, lambda p: bad.writeStream.format("parquet").option("path", p), "rejected")
+    return spark.read.parquet(out).select("complaint_id", "seq")
+
+
+@query(X.with_(X.ESCREQ) + "SELECT DISTINCT complaint_id FROM escreq")
+def stream_first_escalations(spark, d):
+    once = st.first_escalations(src.escalation_requests(_Live(spark, d), d), delay="3650 days")
+    out = _sink(spark, lambda p: once.writeStream.format("parquet").option("path", p), "once")
+    return spark.read.parquet(out).select("complaint_id")
+
+
+@query(COMM + """SELECT complaint_id, seq, row_number() OVER (PARTITION BY complaint_id
+  ORDER BY seq) + 1 AS total_messages FROM comm WHERE complaint_id IN
+  (SELECT complaint_id FROM reg)""")
+def stream_message_log(spark, d):
+    log, reg = src.communications_log(_Live(spark, d), d), src.register(spark, d)
+    out = _sink(spark, lambda p: st.append_batches(log, p, lambda m: st.valid_live(m, reg)),
+                "messages")
+    stored = st.read_store(spark, out, S.COMMUNICATION_SCHEMA)
+    return ev.add_communications(reg, None, stored).select(
+        "complaint_id", "seq", "total_messages")
+
+
+@query(X.with_(X.REG, X.sla()) + "SELECT complaint_id " + _CAND)
+def stream_triage(spark, d):
+    live, messages = _register_stream(spark, d), scratch_path(spark, "triage-messages")
+    out = _sink(spark, lambda p: st.run_triage(live, AS_OF, p, messages), "triage")
+    return st.read_store(spark, out, TRIAGE_LOG).select("complaint_id")
+
+
+@query(X.with_(X.REG, X.sla()) + """, m AS (SELECT max(created_date) AS w FROM reg)
+SELECT complaint_id, epoch_ms(due_date) AS due_ms FROM sla, m
+WHERE status <> 'Resolved' AND due_date <= w - INTERVAL 1 SECOND""")
+def stream_deadlines(spark, d):
+    """Deadlines that event time has passed by the end of the input, each once."""
+    from ..functions.text import lookup
+    from ..functions.time import add_hours
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    reg = _register_stream(spark, d)
+    due = add_hours("created_date", lookup("severity", S.SLA_HOURS, S.DEFAULT_SLA_HOURS))
+    events = reg.select("complaint_id", F.col("created_date").alias("event_time"),
+                        due.alias("due_date"), "status")
+    fired = st.deadline_firings(events, "1 second")
+    out = _sink(spark, lambda p: fired.writeStream.outputMode("append").format("parquet")
+                .option("path", p), "fired")
+    return spark.read.parquet(out)

@@ -6,7 +6,7 @@ complaint; rows of a key are consumed one by one."""
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
@@ -27,7 +27,7 @@ FIRING_SCHEMA = T.StructType([
 def _millis(ts: datetime) -> int:
     if ts.tzinfo is None:
         ts = ts.astimezone()  # Spark hands out local wall-clock times
-    return round((ts - datetime(1970, 1, 1, tzinfo=timezone.utc)).total_seconds() * 1000)
+    return (ts - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(milliseconds=1)
 
 
 class DeadlineTimer(StatefulProcessor):

@@ -111,7 +111,7 @@ def test_triage_stream_equals_batch_and_is_idempotent(spark, sf001, tmp_path):
 
 def test_resolution_agent_takes_two_per_run_and_drops_none(spark, sf001, tmp_path):
     reg, verdicts = src.register(spark, sf001), src.verdicts(spark, sf001)
-    options = {"categories": ["click", "view", "error"]}
+    options = {"categories": ["click"]}
     want = st.resolution_tick(reg, verdicts, spark.createDataFrame([], RESOLUTION_LOG), None,
                               **options)
     n = want.count()
