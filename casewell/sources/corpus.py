@@ -11,9 +11,7 @@ from .. import schema as S
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """One row (source, text) per `.txt` file of the folder."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.txt")
-        .text(folder)
+        spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
         .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("text"))
     )
 
