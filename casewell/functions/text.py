@@ -47,7 +47,7 @@ def prefix_key(text: Column | str, n: int = 60) -> Column:
 
 def strip(text: Column | str) -> Column:
     """Trim every kind of white space at both ends, not blanks only."""
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+    return F.btrim(_col(text), F.lit(" \t\n\r\f\x0b"))
 
 
 def blank_to_null(text: Column | str) -> Column:

@@ -44,7 +44,7 @@ def running_number(df: DataFrame, key: str, seq: str = "seq", width: int = SEQ_S
     Sequence numbers are unique per key, so a slice of `width` numbers holds `width` rows at
     most: rows are numbered inside (key, slice), and the slices before add their counts. A
     hot key is thereby spread over many tasks; join and window share one partitioning."""
-    sliced = df.withColumn("_slice", F.floor(F.col(seq) / F.lit(width)))
+    sliced = df.withColumn("_slice", F.col(seq) - F.pmod(F.col(seq), F.lit(width)))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import MATCH_BANDS, band
 from ..functions.text import ellipsis, prefix_key, strip
+from ..session import materialize, spread_small
 from .vectors import knn
 
 NEAR_COPY = 0.9999
@@ -67,7 +68,7 @@ def describe_pairs(pairs: DataFrame, register: DataFrame, key: str = "event_id",
         F.col("complaint_id_b").alias("complaint_id_2"),
         *([F.col("_text_a").alias("text_1"), F.col("_text_b").alias("text_2")] if text else []),
         F.col("category_a").alias("category"),
-        F.round("similarity_score", digits).alias("similarity_score"),
+        F.bround("similarity_score", digits).alias("similarity_score"),
         F.coalesce("is_duplicate_b", F.lit(False)).alias("is_known_dup"),
         band("similarity_score", MATCH_BANDS).alias("match_band"),
     )
@@ -93,16 +94,11 @@ def top_k_per_query(df: DataFrame, k: int, score: str = "similarity", query: str
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def first_per_text_prefix(df: DataFrame, text: str = "complaint_text", n: int = 60,
-                          query: str = "query_id", score: str = "similarity",
-                          tie: str = "neighbour_id") -> DataFrame:
-    """Best-scoring row per query and text beginning."""
-    w = Window.partitionBy(query, "_prefix").orderBy(F.desc(score), tie)
-    return (
-        df.withColumn("_prefix", prefix_key(text, n))
-        .withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1)
-        .drop("_r", "_prefix")
-    )
+def first_per_text_prefix(df: DataFrame, prefix: str, query: str = "query_id",
+                          score: str = "similarity", tie: str = "neighbour_id") -> DataFrame:
+    """Best-scoring row per query and text beginning (a column made by `prefix_key`)."""
+    w = Window.partitionBy(query, prefix).orderBy(F.desc(score), tie)
+    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
 def similar(
@@ -123,7 +119,8 @@ def similar(
 
     Of the top_k+10 nearest rows those below the threshold, the near copies and the excluded
     id are dropped, then repeated text beginnings, and the best `top_k` stay. `texts` holds
-    (id, text, further attributes); it is joined to the few rows found."""
+    (id, text, further attributes). Results show the first 120 characters of the text, which
+    are cut out before the join, so that whole texts are not shuffled."""
     near = knn(queries, base, probe or top_k + 10, threshold, id_col, vec_col,
                exclude_self=False, **knn_options)
     if max_sim is not None:
@@ -132,9 +129,10 @@ def similar(
         skip = queries.select(F.col(id_col).alias("query_id"), F.col(exclude_id).alias("_x"))
         near = near.join(skip, "query_id").where(
             ~F.col("_x").eqNullSafe(F.col("neighbour_id"))).drop("_x")
-    found = near.drop("rank").join(
-        texts.withColumnRenamed(id_col, "neighbour_id"), "neighbour_id")
-    return top_k_per_query(first_per_text_prefix(found, text), top_k)
+    shown = texts.withColumnRenamed(id_col, "neighbour_id").withColumns({
+        "_prefix": prefix_key(text), text: ellipsis(text, 120)})
+    found = near.drop("rank").join(shown, "neighbour_id")
+    return top_k_per_query(first_per_text_prefix(found, "_prefix"), top_k).drop("_prefix")
 
 
 def similar_offline(
@@ -156,10 +154,9 @@ def similar_offline(
     return top_k_per_query(rounded, top_k)
 
 
-def similar_display(df: DataFrame, text: str = "complaint_text") -> DataFrame:
-    """Clipped text and three decimals, as results are shown."""
-    return df.withColumn(text, ellipsis(text, 120)).withColumn(
-        "similarity", F.bround("similarity", 3))
+def similar_display(df: DataFrame) -> DataFrame:
+    """Three decimals, as results are shown."""
+    return df.withColumn("similarity", F.bround("similarity", 3))
 
 
 def duplicate_found(queries: DataFrame, similar_rows: DataFrame, id_col: str = "id",
@@ -198,10 +195,12 @@ def exact_duplicates(df: DataFrame, text: str = "complaint_text", key: str = "co
                      ) -> DataFrame:
     """Rows whose normalised text occurs more than once: (key, first key of the group, copies).
 
-    Group sizes are combined before the shuffle; groups are joined back as rows and never
-    collected, and a hot group is split by the adaptive skew join."""
-    hashed = df.where(F.col(text).isNotNull()).select(
-        F.col(key), F.sha2(normal_text(text), 256).alias("_h"))
+    Texts are read and hashed once; only (key, hash) is kept. Group sizes are combined before
+    the shuffle; groups are joined back as rows and never collected, and a hot group is split
+    by the adaptive skew join."""
+    rows = df.where(F.col(text).isNotNull()).select(key, text)
+    hashed = materialize(spread_small(rows, rows.count()).select(
+        F.col(key), F.sha2(normal_text(text), 256).alias("_h")))
     groups = hashed.groupBy("_h").agg(
         F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")
     ).where(F.col("copies") > 1)

@@ -79,8 +79,11 @@ def stream_status_counts(spark, d):
 @query(X.with_(X.ESCREQ) + "SELECT complaint_id, seq, escalated_to FROM escreq QUALIFY "
        "row_number() OVER (PARTITION BY complaint_id ORDER BY seq DESC) = 1")
 def stream_latest_escalation(spark, d):
-    live = src.escalation_requests(_Live(spark, d), d)
-    return _last_update(spark, st.latest_live(live), "latest").select(
+    """Update mode: each batch stores the ids it changed, the last write counts on reading."""
+    requests = src.escalation_requests(_Live(spark, d), d)
+    live = st.latest_live(requests).select(requests.columns)
+    out = _sink(spark, lambda p: st.append_batches(live, p).outputMode("update"), "latest")
+    return ev.latest_per_id(st.read_store(spark, out, live.schema)).select(
         "complaint_id", "seq", "escalated_to")
 
 
@@ -119,7 +122,7 @@ def stream_triage(spark, d):
 
 
 @query(X.with_(X.REG, X.sla()) + """, m AS (SELECT max(created_date) AS w FROM reg)
-SELECT complaint_id, epoch_ms(due_date) AS due_ms FROM sla, m
+SELECT complaint_id, epoch_us(due_date) // 1000 AS due_ms FROM sla, m
 WHERE status <> 'Resolved' AND due_date <= w - INTERVAL 1 SECOND""")
 def stream_deadlines(spark, d):
     """Deadlines that event time has passed by the end of the input, each once."""

@@ -44,8 +44,8 @@ def read_register_parquet(spark: SparkSession, path: str) -> DataFrame:
 def write_register(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Parquet partitioned by month (CSV without partitions for exchange).
 
-    Rows are sent to tasks by (month, hash of id), so one busy month is written by many
-    tasks and AQE may merge the small ones; no month becomes a single writer."""
+    Rows are gathered by month with a rebalance hint: small months share a task, and a busy
+    month is split by size, so that no month becomes a single writer."""
     if fmt == "csv":
         (
             df.withColumn("created_date", F.date_format("created_date", "yyyy-MM-dd HH:mm:ss"))
@@ -54,6 +54,6 @@ def write_register(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         return
     (
         df.withColumn("month", month_of("created_date"))
-        .repartition("month", F.pmod(F.xxhash64("complaint_id"), F.lit(64)))
+        .hint("rebalance", "month")
         .write.mode("overwrite").partitionBy("month").parquet(path)
     )

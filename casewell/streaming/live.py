@@ -30,7 +30,8 @@ def status_counts_live(complaints: DataFrame) -> DataFrame:
 
 
 def latest_live(events: DataFrame) -> DataFrame:
-    """Last write per complaint, by sequence and not by arrival (complete or update)."""
+    """Last write per complaint, by sequence and not by arrival. Use update mode with
+    `append_batches` at scale: a batch then writes only the complaints it changed."""
     return latest_per_id(events)
 
 
