@@ -63,14 +63,15 @@ def describe_pairs(pairs: DataFrame, register: DataFrame, key: str = "event_id",
     out = pairs.join(named("_a"), F.col("id_1") == F.col("_k_a")).join(
         named("_b"), F.col("id_2") == F.col("_k_b")
     )
+    shown = F.bround("similarity_score", digits)
     return out.select(
         F.col("complaint_id_a").alias("complaint_id_1"),
         F.col("complaint_id_b").alias("complaint_id_2"),
         *([F.col("_text_a").alias("text_1"), F.col("_text_b").alias("text_2")] if text else []),
         F.col("category_a").alias("category"),
-        F.bround("similarity_score", digits).alias("similarity_score"),
+        shown.alias("similarity_score"),
         F.coalesce("is_duplicate_b", F.lit(False)).alias("is_known_dup"),
-        band("similarity_score", MATCH_BANDS).alias("match_band"),
+        band(shown, MATCH_BANDS).alias("match_band"),
     )
 
 

@@ -66,14 +66,18 @@ _DESCRIBED = X.with_(X.REG, X.TXT, X.pairs(5, LOW, 0.9999)) + """, desc_ AS (
 SELECT a.complaint_id AS complaint_id_1, b.complaint_id AS complaint_id_2,
   concat(substr(a.complaint_text, 1, 80), '...') AS text_1,
   concat(substr(b.complaint_text, 1, 80), '...') AS text_2, a.category,
-  round(similarity_score, 3) AS similarity_score, b.is_duplicate AS is_known_dup
+  round(similarity_score, 3) AS similarity_score, b.is_duplicate AS is_known_dup,
+  CASE WHEN round(similarity_score, 3) >= 0.95 THEN 'Critical Match'
+    WHEN round(similarity_score, 3) >= 0.90 THEN 'High Match'
+    WHEN round(similarity_score, 3) >= 0.82 THEN 'Moderate Match' ELSE 'Low Match' END
+    AS match_band
 FROM prs JOIN txt a ON a.event_id = id_1 JOIN txt b ON b.event_id = id_2)
 """
 
 
 def _described(spark, d):
     pairs = sim.duplicate_pairs(_vectors(spark, d), 5, LOW)
-    return sim.describe_pairs(pairs, src.register(spark, d, with_text=True)).drop("match_band")
+    return sim.describe_pairs(pairs, src.register(spark, d, with_text=True))
 
 
 @query(_DESCRIBED + "SELECT * FROM desc_")

@@ -9,10 +9,10 @@ from .. import sources as src
 from .. import streaming as st
 from ..operators import events as ev
 from ..session import ROCKSDB, scratch_path
-from ..streaming.agents import TRIAGE_LOG
+from ..streaming.agents import RESOLUTION_LOG, TRIAGE_LOG
 from . import sql as X
 from .catalog import AS_OF, query
-from .q_events import _CAND, COMM, ESC
+from .q_events import _CAND, _RES, COMM, ESC
 from .q_register import REG
 
 
@@ -114,6 +114,15 @@ def stream_message_log(spark, d):
         "complaint_id", "seq", "total_messages")
 
 
+@query(_RES + "SELECT complaint_id, reasoning FROM ok")
+def stream_resolution(spark, d):
+    """The resolution agent without a limit per run, ticked by the verdict file."""
+    out = _sink(spark, lambda p: st.run_resolution_agent(
+        _stream(spark, d, "labels"), src.register(spark, d), src.verdicts(spark, d), p, None,
+        categories=["click", "view", "error"]), "resolutions")
+    return st.read_store(spark, out, RESOLUTION_LOG).select("complaint_id", "reasoning")
+
+
 @query(X.with_(X.REG, X.sla()) + "SELECT complaint_id " + _CAND)
 def stream_triage(spark, d):
     live, messages = _register_stream(spark, d), scratch_path(spark, "triage-messages")

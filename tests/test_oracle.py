@@ -10,7 +10,10 @@ ORACLE = oracle_sql()
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf001, name):
-    assert compare(spark, connect(sf001), name, queries()[name], ORACLE[name], sf001) == ""
+    df = queries()[name](spark, sf001)
+    assert compare(connect(sf001), df, ORACLE[name]) == ""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_every_sql_has_a_query():
