@@ -5,21 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..schema import (  # noqa: F401
+    BRANCH_BANDS, MATCH_BANDS, PRIORITY_BANDS, RESOLUTION_BANDS, URGENT_BELOW_HOURS,
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# Fixed values: (lower edge, label) in falling order, then the label below all edges.
-MATCH_BANDS = ([(0.95, "Critical Match"), (0.90, "High Match"), (0.82, "Moderate Match")],
-               "Low Match")
-RESOLUTION_BANDS = ([(70, "success"), (40, "warning")], "destructive")
-PRIORITY_BANDS = ([(8, "destructive"), (5, "warning")], "success")
-BRANCH_BANDS = ([(0.8, "destructive"), (0.5, "warning")], "success")
-URGENT_BELOW_HOURS = 2
-# end of fixed values
-
-
 def band(x: Column | str, bands: tuple, strict: bool = False) -> Column:
     """First band whose lower edge is reached (strict: exceeded); null → the last label."""
     x, out = _col(x), None

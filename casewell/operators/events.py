@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import lookup
+from ..functions.text import fill_template, lookup
 from ..functions.time import add_hours, as_timestamp, format_minute
 from .filters import is_original, originals
 from .sla import Clock, sla_columns, sla_display
@@ -111,7 +111,7 @@ def auto_resolved_audit(register: DataFrame, communications: DataFrame) -> DataF
     proof = communications.where(
         (F.col("type") == "auto_resolution")
         | F.col("message").contains(S.AUTO_RESOLUTION_MARK)
-    ).select("complaint_id")
+    ).select("complaint_id").distinct()
     return originals(register).where(F.col("status") == "Resolved").join(
         proof, "complaint_id", "left_semi"
     )
@@ -131,8 +131,8 @@ def _extensions(register: DataFrame, events: DataFrame) -> DataFrame:
 
 def extend_sla(register: DataFrame, events: DataFrame) -> DataFrame:
     """Deadline in force per extended complaint. Extensions do not add up: each counts from
-    the base deadline, and the last one stands."""
-    return latest_per_id(_extensions(register, events)).select(
+    the base deadline, and the last one stands; so only the last request per id is joined."""
+    return _extensions(register, latest_per_id(events)).select(
         "complaint_id", "due_date", F.col("extend_hours").alias("extended_by"), "reason",
         "extended_at",
     )
@@ -142,10 +142,8 @@ def extension_messages(register: DataFrame, events: DataFrame) -> DataFrame:
     """One system message per accepted extension request."""
     return _extensions(register, events).select(
         "complaint_id", "seq", F.lit("system").alias("sender"),
-        F.concat(
-            F.lit("SLA extended by "), F.col("extend_hours").cast("string"),
-            F.lit(" hours. Reason: "), "reason", F.lit(". New due: "), format_minute("due_date"),
-        ).alias("message"),
+        fill_template(S.EXTENSION_MESSAGE, hours="extend_hours", reason="reason",
+                      due=format_minute("due_date")).alias("message"),
         F.lit("System").alias("channel"), F.col("extended_at").alias("ts"),
         F.lit(None).cast("string").alias("type"),
     )
@@ -154,18 +152,18 @@ def extension_messages(register: DataFrame, events: DataFrame) -> DataFrame:
 # -- escalations -------------------------------------------------------------
 
 def escalate(register: DataFrame, events: DataFrame) -> DataFrame:
-    """Current escalation per complaint; a later request replaces the earlier one."""
+    """Current escalation per complaint; a later request replaces the earlier one. Requests
+    are reduced to the last per id before they are matched with the register."""
     rows = events.withColumn("escalated_by", F.coalesce("escalated_by", F.lit("Agent")))
-    return latest_per_id(valid_events(rows, register)).withColumn("status", F.lit("Active"))
+    return valid_events(latest_per_id(rows), register).withColumn("status", F.lit("Active"))
 
 
 def escalation_messages(register: DataFrame, events: DataFrame) -> DataFrame:
     return valid_events(events, register).select(
         "complaint_id", "seq", F.lit("system").alias("sender"),
-        F.concat(
-            F.lit("Complaint escalated to "), F.coalesce("escalation_level", F.lit("Unknown")),
-            F.lit(" — "), "escalated_to", F.lit(". Reason: "), "reason",
-        ).alias("message"),
+        fill_template(
+            S.ESCALATION_MESSAGE, level=F.coalesce("escalation_level", F.lit("Unknown")),
+            team="escalated_to", reason="reason").alias("message"),
         F.lit("System").alias("channel"), F.col("escalated_at").alias("ts"),
         F.lit("escalation").alias("type"),
     )

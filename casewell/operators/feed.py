@@ -8,25 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import padded_id
+from ..functions.text import contains_any, padded_id
 
 
 def map_product(product: Column | str) -> Column:
     """Free-text product → category; the first rule that fits wins, null reads as empty."""
-    low = F.lower(F.coalesce(F.col(product) if isinstance(product, str) else product, F.lit("")))
-    rules = [
-        (("credit card", "credit reporting"), "Credit Card"),
-        (("loan", "mortgage", "debt"), "Loan Services"),
-        (("account", "savings"), "Account Opening"),
-        (("transfer", "money"), "Fund Transfer / NEFT / RTGS"),
-    ]
+    low = F.coalesce(F.col(product) if isinstance(product, str) else product, F.lit(""))
     out = None
-    for words, category in rules:
-        hit = low.contains(words[0])
-        for w in words[1:]:
-            hit = hit | low.contains(w)
+    for words, category in S.PRODUCT_RULES:
+        hit = contains_any(low, words)
         out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise("Customer Service")
+    return out.otherwise(S.DEFAULT_PRODUCT_CATEGORY)
 
 
 def feed_rows(feed: DataFrame, source: str = "External") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.text import contains_any, strip
+from ..functions.text import contains_any, fill_template, strip
 
 
 def is_original() -> Column:
@@ -151,12 +151,10 @@ def regulatory_keyword_flag(
     flag = contains_any(checked, keywords) | F.coalesce(
         F.col(severity).isin("High", "Critical"), F.lit(False)
     )
-    base = "Flagged due to potential regulatory impact or high severity."
-    reason = F.when(
-        flag,
-        F.when(
-            F.col(policy_source).isNotNull(),
-            F.concat(F.lit(base + " [Source: "), F.col(policy_source), F.lit("]")),
-        ).otherwise(base),
-    ).otherwise("")
+    source = F.col(policy_source)
+    reason = (
+        F.when(~flag, "")
+        .when(source.isNotNull(), fill_template(S.REGULATORY_REASON_SOURCE, source=source))
+        .otherwise(S.REGULATORY_REASON)
+    )
     return df.withColumn("regulatory_flag", flag).withColumn("regulatory_reason", reason)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
-from ..functions.text import ellipsis_if_longer, hours_label, lookup, strip
+from ..functions.text import ellipsis_if_longer, fill_template, hours_label, lookup, strip
 from .filters import originals, regulatory_keyword_flag
 from .similarity import duplicate_found
 from .stats import label_count_maps
@@ -79,11 +79,9 @@ def analyze(predicted: DataFrame, similar_rows: DataFrame, top_k: int = 3,
 
 
 def action_items(category: Column, source: Column) -> Column:
-    base = F.array(
-        F.lit("Log complaint details in the CRM"),
-        F.concat(F.lit("Assign to "), lookup(category, S.DEPARTMENTS, S.DEFAULT_DEPARTMENT)),
-    )
-    follow = F.concat(F.lit("Follow resolution steps outlined in "), source)
+    team = lookup(category, S.DEPARTMENTS, S.DEFAULT_DEPARTMENT)
+    base = F.array(F.lit(S.ACTION_LOG), fill_template(S.ACTION_ASSIGN, team=team))
+    follow = fill_template(S.ACTION_FOLLOW, source=source)
     return F.when(source.isNotNull(), F.array_append(base, follow)).otherwise(base)
 
 
@@ -95,21 +93,18 @@ def draft_response(predicted: DataFrame, best: DataFrame, similar_rows: DataFram
             if "customer_name" in rows.columns else F.lit("Customer"))
     category, severity = F.col("predicted_category"), F.col("predicted_severity")
     source, policy = F.col("policy_source"), F.col("policy_text")
-    opening = F.concat(F.lit("Dear "), name,
-                       F.lit(",\nWe have received your complaint regarding "), category,
-                       F.lit(". "))
-    cause = F.concat(F.lit("Issue relates to "), category, F.lit(" operations."))
+
+    def with_source(text: str, otherwise: str, **values: Column) -> Column:
+        return F.when(source.isNotNull(), fill_template(text, source=source, **values)
+                      ).otherwise(F.lit(otherwise))
+
     drafts = rows.withColumns({
-        "draft_response": F.when(
-            source.isNotNull(),
-            F.concat(opening, F.lit("Our team is investigating this in accordance with the "),
-                     source, F.lit(" guidelines.")),
-        ).otherwise(F.concat(opening, F.lit("Our team is investigating this matter."))),
-        "root_cause": F.when(
-            source.isNotNull(),
-            F.concat(cause, F.lit(" [Source: "), source, F.lit("] - "),
-                     ellipsis_if_longer(policy, 120)),
-        ).otherwise(cause),
+        "draft_response": F.concat(
+            fill_template(S.DRAFT_OPENING, name=name, category=category),
+            with_source(S.DRAFT_WITH_POLICY, S.DRAFT_WITHOUT_POLICY)),
+        "root_cause": F.concat(
+            fill_template(S.ROOT_CAUSE, category=category),
+            with_source(S.ROOT_CAUSE_SOURCE, "", snippet=ellipsis_if_longer(policy, 120))),
         "action_items": action_items(category, source),
         "escalate_to": lookup(category, S.DEPARTMENTS, S.DEFAULT_DEPARTMENT),
         "resolution_sla": hours_label(lookup(severity, S.SLA_HOURS, S.DEFAULT_SLA_HOURS)),
@@ -217,18 +212,6 @@ DRAFT = T.StructType([
     T.StructField("priority_score", T.LongType()),
     T.StructField("customer_tone_tip", T.StringType()),
 ])
-# The record that stands in for an answer that cannot be read.
-DEFAULT_DRAFT = {
-    "draft_response": "We sincerely apologize for the inconvenience. Your complaint has been "
-                      "registered and our team will contact you within 2-3 working days.",
-    "root_cause": "Unable to analyze.",
-    "action_items": ["Register complaint", "Assign to department", "Follow up within SLA"],
-    "escalate_to": "Customer Service Team",
-    "resolution_sla": "2-3 working days",
-    "priority_score": 5,
-    "customer_tone_tip": "Be empathetic and professional.",
-}
-# end of fixed values
 
 
 def parse_llm_output(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -267,7 +250,7 @@ def parse_record(df: DataFrame, schema: T.StructType, default: Mapping, raw: str
 
 
 def parse_draft(df: DataFrame, raw: str = "raw") -> DataFrame:
-    return parse_record(df, DRAFT, DEFAULT_DRAFT, raw)
+    return parse_record(df, DRAFT, S.DEFAULT_DRAFT, raw)
 
 
 TREND = T.StructType([

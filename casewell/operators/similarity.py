@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import MATCH_BANDS, band
 from ..functions.text import ellipsis, prefix_key, strip
+from ..schema import DUPLICATE_ABOVE, NEAR_COPY
 from ..session import materialize, spread_small
 from .vectors import knn
 
-NEAR_COPY = 0.9999
-DUPLICATE_ABOVE = 0.88
-
 
 def distinct_pairs(neighbours: DataFrame) -> DataFrame:
     """Each unordered pair once, in the direction of the row that found it first."""

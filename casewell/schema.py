@@ -136,4 +136,51 @@ TRIAGE_MESSAGE = (
 TRIAGE_CHANNEL = "AI Agent"
 AUTO_RESOLUTION_PREFIX = "🤖 Autonomous Agent auto-resolved this complaint. Reasoning: "
 AUTO_RESOLUTION_MARK = "Autonomous Agent auto-resolved"
+EXTENSION_MESSAGE = "SLA extended by {hours} hours. Reason: {reason}. New due: {due}"
+ESCALATION_MESSAGE = "Complaint escalated to {level} — {team}. Reason: {reason}"
+
+# product words in order of precedence; the last category is the default
+PRODUCT_RULES = [
+    (["credit card", "credit reporting"], "Credit Card"),
+    (["loan", "mortgage", "debt"], "Loan Services"),
+    (["account", "savings"], "Account Opening"),
+    (["transfer", "money"], "Fund Transfer / NEFT / RTGS"),
+]
+DEFAULT_PRODUCT_CATEGORY = "Customer Service"
+
+# similarity limits
+NEAR_COPY = 0.9999
+DUPLICATE_ABOVE = 0.88
+
+# (lower edge, label) in falling order, then the label below all edges
+MATCH_BANDS = ([(0.95, "Critical Match"), (0.90, "High Match"), (0.82, "Moderate Match")],
+               "Low Match")
+RESOLUTION_BANDS = ([(70, "success"), (40, "warning")], "destructive")
+PRIORITY_BANDS = ([(8, "destructive"), (5, "warning")], "success")
+BRANCH_BANDS = ([(0.8, "destructive"), (0.5, "warning")], "success")
+URGENT_BELOW_HOURS = 2
+
+# drafts
+DRAFT_OPENING = "Dear {name},\nWe have received your complaint regarding {category}. "
+DRAFT_WITH_POLICY = ("Our team is investigating this in accordance with the {source} "
+                     "guidelines.")
+DRAFT_WITHOUT_POLICY = "Our team is investigating this matter."
+ROOT_CAUSE = "Issue relates to {category} operations."
+ROOT_CAUSE_SOURCE = " [Source: {source}] - {snippet}"
+ACTION_LOG = "Log complaint details in the CRM"
+ACTION_ASSIGN = "Assign to {team}"
+ACTION_FOLLOW = "Follow resolution steps outlined in {source}"
+REGULATORY_REASON = "Flagged due to potential regulatory impact or high severity."
+REGULATORY_REASON_SOURCE = REGULATORY_REASON + " [Source: {source}]"
+# the record that stands in for a draft answer that cannot be read
+DEFAULT_DRAFT = {
+    "draft_response": "We sincerely apologize for the inconvenience. Your complaint has been "
+                      "registered and our team will contact you within 2-3 working days.",
+    "root_cause": "Unable to analyze.",
+    "action_items": ["Register complaint", "Assign to department", "Follow up within SLA"],
+    "escalate_to": "Customer Service Team",
+    "resolution_sla": "2-3 working days",
+    "priority_score": 5,
+    "customer_tone_tip": "Be empathetic and professional.",
+}
 # end of fixed values
