@@ -120,7 +120,10 @@ def knn(
 ) -> DataFrame:
     """Exact k nearest base rows per query row by cosine: (query_id, neighbour_id,
     similarity, rank). With `min_sim`, those of the k that reach it. Ties go to the lower id;
-    a base row with the query's own id is left out if `exclude_self`."""
+    a base row with the query's own id is left out if `exclude_self`.
+
+    The vectors are read more than once (size, pivots, groups): store them first, or pass a
+    materialised frame, when an encoder computes them."""
     same = queries is base
     b = _keyed(base, id_col, vec_col)
     q = b if same else _keyed(queries, id_col, vec_col)

@@ -29,20 +29,8 @@ def _sink(spark, writer_of, name):
     return out
 
 
-class _Live:
-    """The register over a stream of events: the same projections, on streaming frames."""
-
-    def __init__(self, spark, d):
-        self.read = self
-        self.spark, self.d = spark, d
-
-    def parquet(self, path):
-        name = path.rsplit("/", 1)[1].removesuffix(".parquet")
-        return _stream(self.spark, self.d, name)
-
-
 def _register_stream(spark, d):
-    return src.register(_Live(spark, d), d)
+    return src.register(spark, d, read=_stream)
 
 
 @query(REG + """, w AS (SELECT max(created_date) - INTERVAL 1 HOUR AS w FROM reg),
@@ -80,7 +68,7 @@ def stream_status_counts(spark, d):
        "row_number() OVER (PARTITION BY complaint_id ORDER BY seq DESC) = 1")
 def stream_latest_escalation(spark, d):
     """Update mode: each batch stores the ids it changed, the last write counts on reading."""
-    requests = src.escalation_requests(_Live(spark, d), d)
+    requests = src.escalation_requests(spark, d, read=_stream)
     live = st.latest_live(requests).select(requests.columns)
     out = _sink(spark, lambda p: st.append_batches(live, p).outputMode("update"), "latest")
     return ev.latest_per_id(st.read_store(spark, out, live.schema)).select(
@@ -90,14 +78,15 @@ def stream_latest_escalation(spark, d):
 @query(ESC + "SELECT complaint_id, seq FROM escreq WHERE complaint_id NOT IN "
        "(SELECT complaint_id FROM reg)")
 def stream_rejected_events(spark, d):
-    bad = st.rejected_live(src.escalation_requests(_Live(spark, d), d), src.register(spark, d))
+    bad = st.rejected_live(src.escalation_requests(spark, d, read=_stream),
+                           src.register(spark, d))
     out = _sink(spark, lambda p: bad.writeStream.format("parquet").option("path", p), "rejected")
     return spark.read.parquet(out).select("complaint_id", "seq")
 
 
 @query(X.with_(X.ESCREQ) + "SELECT DISTINCT complaint_id FROM escreq")
 def stream_first_escalations(spark, d):
-    once = st.first_escalations(src.escalation_requests(_Live(spark, d), d), delay="3650 days")
+    once = st.first_escalations(src.escalation_requests(spark, d, read=_stream), delay="3650 days")
     out = _sink(spark, lambda p: once.writeStream.format("parquet").option("path", p), "once")
     return spark.read.parquet(out).select("complaint_id")
 
@@ -106,7 +95,7 @@ def stream_first_escalations(spark, d):
   ORDER BY seq) + 1 AS total_messages FROM comm WHERE complaint_id IN
   (SELECT complaint_id FROM reg)""")
 def stream_message_log(spark, d):
-    log, reg = src.communications_log(_Live(spark, d), d), src.register(spark, d)
+    log, reg = src.communications_log(spark, d, read=_stream), src.register(spark, d)
     out = _sink(spark, lambda p: st.append_batches(log, p, lambda m: st.valid_live(m, reg)),
                 "messages")
     stored = st.read_store(spark, out, S.COMMUNICATION_SCHEMA)

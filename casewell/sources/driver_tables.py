@@ -25,12 +25,13 @@ def complaint_key(n: Column) -> Column:
     return F.concat(F.lit("CMP"), n.cast("string"))
 
 
-def register(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
-    """Complaint register; the text join is added only where it is asked for."""
+def register(spark: SparkSession, sf_dir: str, with_text: bool = False, read=table) -> DataFrame:
+    """Complaint register; the text join is added only where it is asked for. `read` opens a
+    table, as a batch or as a stream."""
     e, u = F.col("event_id"), F.col("user_id")
     state = (e + u) % 4
     dup = e % 19 == 0
-    reg = table(spark, sf_dir, "events").select(
+    reg = read(spark, sf_dir, "events").select(
         complaint_key(e).alias("complaint_id"),
         e.alias("event_id"),
         u.alias("user_id"),
@@ -57,10 +58,10 @@ def register(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataF
     ).drop("_doc")
 
 
-def communications_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def communications_log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Conversation turns as thread messages; late assistant turns count as auto-resolutions."""
     role, turn = F.col("role"), F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
+    return read(spark, sf_dir, "conversations").select(
         complaint_key(F.col("conv_id")).alias("complaint_id"),
         turn.alias("seq"),
         F.when(role == "user", "customer").when(role == "assistant", "agent")
@@ -73,10 +74,10 @@ def communications_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def escalation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def escalation_requests(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """`error` events as escalation requests; ids repeat, and some name no complaint."""
     e, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
-    return table(spark, sf_dir, "events").where(F.col("event_type") == "error").select(
+    return read(spark, sf_dir, "events").where(F.col("event_type") == "error").select(
         complaint_key(u * 97).alias("complaint_id"),
         e.alias("seq"),
         F.when(v >= 20, "L1").when(v >= 5, "L2").alias("escalation_level"),

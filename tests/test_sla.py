@@ -126,3 +126,19 @@ def test_plan_of_summary_has_one_small_shuffle(register, spark, sf001):
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint>" in plan
 
 
+
+
+def test_one_complaint_holds_most_events(spark, register):
+    """The last request wins for a hot id as for any other; strangers are rejected."""
+    rows = [("g", i, f"L{i % 3}", "r", "t", None, None) for i in range(3000)]
+    rows += [("a", 1, "L1", "r", "t", "me", None), ("zz", 2, "L1", "r", "t", None, None)]
+    events = spark.createDataFrame(
+        rows, "complaint_id string, seq long, escalation_level string, reason string, "
+              "escalated_to string, escalated_by string, escalated_at timestamp").repartition(8)
+    got = {r.complaint_id: (r.seq, r.escalation_level, r.escalated_by)
+           for r in ev.escalate(register, events).collect()}
+    assert got == {"g": (2999, "L2", "Agent"), "a": (1, "L1", "me")}
+    assert ev.rejected_events(events, register).count() == 1
+    summary = {r.level: r["count"] for r in
+               stats.escalation_summary(register, ev.escalate(register, events)).collect()}
+    assert summary == {"L1": 1, "L2": 1}
