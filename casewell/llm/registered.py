@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import exact_dedup
+from . import bag_minhash, exact_dedup
 from .common import table
 from .registry import query
 
@@ -17,3 +17,9 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op1_exact_dedup(spark, sf_dir):
     """Groups of equal texts by Grace hashing."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_bag_minhash(spark, sf_dir):
+    """Classes of near duplicates by BagMinHash."""
+    return bag_minhash.near_classes(table(spark, sf_dir, "documents"))
