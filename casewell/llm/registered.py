@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bag_minhash, exact_dedup
+from . import bag_minhash, exact_dedup, language, packing
 from .common import table
 from .registry import query
 
@@ -23,3 +23,19 @@ def op1_exact_dedup(spark, sf_dir):
 def op8_bag_minhash(spark, sf_dir):
     """Classes of near duplicates by BagMinHash."""
     return bag_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_packing(spark, sf_dir):
+    """Pieces of all documents in sequences of several context sizes."""
+    import public_tokenizers
+
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN)
+
+
+@query()
+def op2_language(spark, sf_dir):
+    """Language of each document by cross-parsing."""
+    return language.predict_language(table(spark, sf_dir, "documents"))
