@@ -29,8 +29,8 @@ from .common import materialize, text_bytes
 #: Words in a shingle, least similarity of near duplicates, bands and registers per band.
 #: A pair at 0.8 misses all of 24 bands of 4 with probability 3e-6.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Components of a bucket that are compared in one round; more take a round for each.
-PAIRED_PARTS = 32
+#: Components of a bucket that are compared with each other, and refinements of larger ones.
+PAIRED_PARTS, REFINED = 32, 4
 
 SIGNED = "uid bigint, doc_id bigint, digest binary, bands array<bigint>, content binary"
 _U = np.uint64
@@ -76,64 +76,84 @@ def shingles(words: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarr
     return total[first], np.diff(np.append(first, len(total)))
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, m: int) -> np.ndarray:
-    """m registers, each the identity of its earliest point."""
+def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: int,
+               m: int) -> np.ndarray:
+    """m registers for each of `docs` weighted sets, each the identity of its earliest point.
+
+    Row i of the inputs is an element of set doc[i] and its weight; every set has elements."""
     top = np.ceil(np.log2(weights)).astype(np.int64)  # last dyadic block of each element
     owner = np.repeat(np.arange(len(elements)), top + 1)
     block = np.arange(len(owner)) - np.repeat(np.cumsum(top + 1) - top - 1, top + 1)
     low = np.where(block == 0, 0.0, 2.0 ** (block - 1))
     rate = np.where(block == 0, 1.0, low)  # the length of the block
     seed = _mix(elements[owner] + _ODD[0] * (block + 1).astype(np.uint64))
-    weight = weights[owner].astype(np.float64)
-    until = m * (np.log(m) + 3) / float(weights.sum())
+    weight, doc = weights[owner].astype(np.float64), doc[owner]
+    until = m * (np.log(m) + 3) / np.bincount(doc, np.minimum(weight, low + rate) - low, docs)
+    out, filled = np.zeros(docs * m, np.uint64), np.zeros((docs, m), bool)
     while True:
-        regs, times, points = [], [], []
-        s, r, lo, w, t = seed, rate, low, weight, np.zeros(len(seed))
+        todo = np.flatnonzero(~filled.all(axis=1)[doc])
+        if not len(todo):
+            return out.reshape(docs, m)
+        s, r, lo, w, d = seed[todo], rate[todo], low[todo], weight[todo], doc[todo]
+        end, t = until[d], np.zeros(len(todo))
+        places, times, points = [], [], []
         step = 0
         while len(s):
             step += 1
             draw = _mix(s + _U(step) * _ODD[1])
             t = t - np.log(((draw >> _U(11)).astype(np.float64) + 1) * 2.0 ** -53) / r
-            live = np.flatnonzero(t <= until)
-            if len(live) < len(t):
-                s, r, lo, w, t, draw = s[live], r[live], lo[live], w[live], t[live], draw[live]
+            live = t <= end
+            s, r, lo, w, d, end, t, draw = (
+                x[live] for x in (s, r, lo, w, d, end, t, draw))
             place = _mix(draw ^ _ODD[2])
-            level = lo + np.floor((_mix(place ^ _ODD[3]) >> _U(11)).astype(np.float64)
-                                  * 2.0 ** -53 * r)
-            take = level < w  # a level of the block that the weight reaches
-            regs.append((place % _U(m))[take])
+            share = (_mix(place ^ _ODD[3]) >> _U(11)).astype(np.float64) * 2.0 ** -53
+            take = lo + np.floor(share * r) < w  # a level of the block that the weight reaches
+            places.append((d * m + (place % _U(m)).astype(np.int64))[take])
             times.append(t[take])
             points.append(draw[take])
-        reg, time, point = map(np.concatenate, (regs, times, points))
-        out, filled = np.zeros(m, np.uint64), np.zeros(m, bool)
-        late_first = np.argsort(-time, kind="stable")
-        out[reg[late_first]] = point[late_first]  # of equal places the last write stays
-        filled[reg] = True
-        if filled.all():
-            return out
+        place, time, point = map(np.concatenate, (places, times, points))
+        best = np.full(docs * m, np.inf)
+        np.minimum.at(best, place, time)
+        first = time == best[place]
+        out[place[first]] = point[first]
+        filled |= np.isfinite(best).reshape(docs, m)
         until *= 2
 
 
+def band_keys(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int,
+              most: int = 200_000) -> list[list[int]]:
+    """Band keys of each counted multiset, none for an empty one."""
+    out: list[list[int]] = [[] for _ in sets]
+    full = [i for i, (e, _) in enumerate(sets) if len(e)]
+    while full:
+        sizes = np.cumsum([len(sets[i][0]) for i in full])
+        take = max(1, int(np.searchsorted(sizes, most)))
+        now, full = full[:take], full[take:]
+        sig = signatures(np.concatenate([sets[i][0] for i in now]),
+                         np.concatenate([sets[i][1] for i in now]),
+                         np.repeat(np.arange(len(now)), [len(sets[i][0]) for i in now]),
+                         len(now), bands * rows).reshape(len(now), bands, rows)
+        key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(now), bands))
+        for k in range(rows):
+            key = _mix(key * _ODD[k % 5] + sig[:, :, k])
+        for i, found in zip(now, key.view(np.int64).tolist(), strict=True):
+            out[i] = found
+    return out
+
+
 def _sign(bands: int, rows: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, memo = TaskContext.get().partitionId() << 36, WordHashes()
         pack = zstandard.ZstdCompressor(level=1)
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, keys, packed = [], [], []
+                digests, sets, packed = [], [], []
                 for content in batch.column(1).to_pylist():
                     words = word_hashes(content, memo)
                     digests.append(xxhash.xxh3_128_digest(words.tobytes()))
                     packed.append(pack.compress(content))
-                    elements, weights = shingles(words, size)
-                    if not len(elements):
-                        keys.append([])
-                        continue
-                    sig = signature(elements, weights, bands * rows).reshape(bands, rows)
-                    key = np.arange(1, bands + 1, dtype=np.uint64)
-                    for k in range(rows):
-                        key = _mix(key * _ODD[k % 5] + sig[:, k])
-                    keys.append(key.view(np.int64).tolist())
+                    sets.append(shingles(words, size))
+                keys = band_keys(sets, bands, rows)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(number, number + n), pa.int64()), batch.column(0),
@@ -228,20 +248,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     done = verified(held.where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
                     .distinct())
-    rank = 1
+    found = components(done.where("near").select("a", "b"))
     while True:
-        found = components(done.where("near").select("a", "b"))
-        parts = bucket_parts(held, found)
-        rest = materialize(part_pairs(parts, rank).join(done, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            checked = verified(rest)
-            done = done.unionByName(checked)
-            if not checked.where("near").isEmpty():
-                rank = 1
-                continue
-        if parts.where(F.col("n") > max(PAIRED_PARTS, rank + 1)).isEmpty():
+        rest = materialize(part_pairs(bucket_parts(held, found), keys)
+                           .join(done, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
             break
-        rank += 1
+        checked = verified(rest)
+        done = done.unionByName(checked)
+        if checked.where("near").isEmpty():
+            break
+        found = components(done.where("near").select("a", "b"))
     classes = (signed.select("uid", "doc_id", "digest").join(same, "digest")
                .join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
                .select("uid", "doc_id", F.coalesce("label", "rep").alias("group")))
@@ -255,34 +272,41 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bucket_parts(held: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets that still hold several components: (key, part, member, n) with one member of
-    each component and the number of components."""
-    parts = (held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left")
-             .groupBy("key", F.coalesce("label", "uid").alias("part"))
-             .agg(F.max("uid").alias("member")))
-    parts = materialize(parts)
-    several = materialize(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    return materialize(parts.join(several, "key"))
+    """Buckets that still hold several components: (key, member), one of each component."""
+    parts = materialize(held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left")
+                        .groupBy("key", F.coalesce("label", "uid").alias("part"))
+                        .agg(F.max("uid").alias("member")))
+    return parts.select("key", "member")
 
 
-def part_pairs(parts: DataFrame, rank: int) -> DataFrame:
+def part_pairs(parts: DataFrame, keys: DataFrame) -> DataFrame:
     """Comparisons between components of one bucket, as distinct (a, b) with a > b.
 
-    Up to PAIRED_PARTS components: all of them (a bounded number a row). More: all with the
-    `rank`-th one, so that further ranks complete the bucket without listing its pairs."""
-    few = (parts.where(F.col("n") <= PAIRED_PARTS).groupBy("key")
-           .agg(F.collect_set("member").alias("m")))
-    paired = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b"))
-    many = parts.where(F.col("n") > PAIRED_PARTS)
-    centre = many.groupBy("key").agg(F.min(F.struct("part", "member")).alias("c"))
-    for _ in range(rank - 1):
-        centre = (many.join(centre.select("key", F.col("c.part").alias("below")), "key")
-                  .where(F.col("part") > F.col("below")).groupBy("key")
-                  .agg(F.min(F.struct("part", "member")).alias("c")))
-    star = (many.join(materialize(centre), "key")
-            .select(F.greatest("member", "c.member").alias("a"),
-                    F.least("member", "c.member").alias("b")))
-    return paired.unionByName(star).where("a > b").distinct()
+    A bucket of up to PAIRED_PARTS components compares all of them, a bounded number a row. A
+    larger one (texts that share a passage, mostly) is refined: its members are dealt to
+    buckets that share a further band, of which a similar pair has about ten. What REFINED
+    refinements don't part compares with one member."""
+    out = None
+    for depth in range(REFINED + 1):
+        sizes = materialize(parts.groupBy("key").agg(
+            F.count("*").alias("n"), F.min("member").alias("centre")).where("n > 1"))
+        sized = parts.join(sizes, "key")
+        few = (sized.where(F.col("n") <= PAIRED_PARTS).groupBy("key")
+               .agg(F.collect_set("member").alias("m")))
+        pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+        large = sizes.where(F.col("n") > PAIRED_PARTS)
+        if large.isEmpty():
+            break
+        if depth == REFINED:
+            out = out.unionByName(sized.where(F.col("n") > PAIRED_PARTS).select(
+                F.col("member").alias("a"), F.col("centre").alias("b")))
+        else:
+            further = keys.select(F.col("uid").alias("member"), F.col("key").alias("next"))
+            parts = materialize(
+                parts.join(large.select("key"), "key", "left_semi").join(further, "member")
+                .where("next <> key").select(F.xxhash64("key", "next").alias("key"), "member"))
+    return out.where("a > b").distinct()
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

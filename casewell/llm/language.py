@@ -149,13 +149,8 @@ def phrases(model: Model, points: np.ndarray, texts: list[str]) -> tuple[np.ndar
 
 
 def _predictor(shipped):
-    held: dict = {}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped
-        if "points" not in held:
-            held["points"] = model.code_of_points()
-        points = held["points"]
+        model, points = shipped.value
         for batch in batches:
             langs, scores = [], []
             texts = batch.column(2).to_pylist()
@@ -217,7 +212,9 @@ def predict_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out. Whole texts are parsed; other columns are not looked at."""
     model = Model(sample(train if train is not None else docs, id_col, text_col, lang_col,
                          texts, symbols))
+    # bounded by the sample: TEXTS x SYMBOLS symbols for each of at most LANGUAGES languages
+    shipped = docs.sparkSession.sparkContext.broadcast((model, model.code_of_points()))
     return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                         F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
                         text_of(text_col).alias("text"))
-            .mapInArrow(_predictor(model), PREDICTED))
+            .mapInArrow(_predictor(shipped), PREDICTED))
