@@ -7,10 +7,10 @@ levels it holds, and only points below the element's weight count. Equal registe
 have the probability of the weighted Jaccard similarity. Only points up to a time at which all
 registers are filled are drawn, so a text costs one draw per shingle and some hundred points.
 
-Bands of the signature give candidates. In each bucket members are compared with one
-representative, never with each other, and every candidate is verified on complete multisets.
-Components of verified links are found by repeated minimum labels; buckets that still hold
-several components are compared again through other representatives."""
+Bands of the signature give candidates. In each bucket members are compared with a centre, the
+text that meets most others, and every candidate is verified on complete multisets. Components
+of verified links are found by repeated minimum labels; buckets that still hold several
+components are compared again through other centres for as long as that finds links."""
 
 from __future__ import annotations
 
@@ -29,8 +29,8 @@ from .common import materialize, text_bytes
 #: Words in a shingle, least similarity of near duplicates, bands and registers per band.
 #: A pair at 0.8 misses all of 24 bands of 4 with probability 3e-6.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Components of a bucket that are compared with each other, and refinements of larger ones.
-PAIRED_PARTS, REFINED = 32, 4
+#: Components of a bucket that are compared with each other.
+PAIRED_PARTS = 32
 
 SIGNED = "uid bigint, doc_id bigint, digest binary, bands array<bigint>, content binary"
 _U = np.uint64
@@ -234,10 +234,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = materialize(signed.select("uid", "bands")
                        .join(same.select(F.col("rep").alias("uid")), "uid", "left_semi")
                        .select("uid", F.explode("bands").alias("key")))
-    shared = materialize(keys.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n"))
-                         .where("n > 1").select("key", "hub"))
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     held = materialize(keys.join(shared, "key"))
-    texts = signed.select("uid", "content")
+    # how many candidates a text meets in all its buckets: an original meets more than its copies
+    met = materialize(held.groupBy("uid").agg(F.sum("n").alias("met")))
+    held = materialize(held.select("key", "uid").join(met, "uid"))
+    texts = materialize(signed.select("uid", "content").join(met.select("uid"), "uid", "left_semi"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = texts.select(F.col("uid").alias("a"), F.col("content").alias("x"))
@@ -246,19 +248,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            .mapInArrow(_verify(similarity, words),
                                        "a bigint, b bigint, near boolean"))
 
-    done = verified(held.where("uid <> hub").select(F.col("uid").alias("a"), F.col("hub").alias("b"))
-                    .distinct())
-    found = components(done.where("near").select("a", "b"))
+    done, found, turn = None, None, 0
     while True:
-        rest = materialize(part_pairs(bucket_parts(held, found), keys)
-                           .join(done, ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            break
+        rest = candidate_pairs(held, found, turn)
+        rest = materialize(rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
         checked = verified(rest)
-        done = done.unionByName(checked)
-        if checked.where("near").isEmpty():
+        done = checked if done is None else done.unionByName(checked)
+        if turn and checked.where("near").isEmpty():
             break
-        found = components(done.where("near").select("a", "b"))
+        found, turn = components(done.where("near").select("a", "b")), turn + 1
     classes = (signed.select("uid", "doc_id", "digest").join(same, "digest")
                .join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
                .select("uid", "doc_id", F.coalesce("label", "rep").alias("group")))
@@ -271,42 +269,35 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
-def bucket_parts(held: DataFrame, found: DataFrame) -> DataFrame:
-    """Buckets that still hold several components: (key, member), one of each component."""
-    parts = materialize(held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left")
-                        .groupBy("key", F.coalesce("label", "uid").alias("part"))
-                        .agg(F.max("uid").alias("member")))
-    return parts.select("key", "member")
-
-
-def part_pairs(parts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Comparisons between components of one bucket, as distinct (a, b) with a > b.
-
-    A bucket of up to PAIRED_PARTS components compares all of them, a bounded number a row. A
-    larger one (texts that share a passage, mostly) is refined: its members are dealt to
-    buckets that share a further band, of which a similar pair has about ten. What REFINED
-    refinements don't part compares with one member."""
-    out = None
-    for depth in range(REFINED + 1):
-        sizes = materialize(parts.groupBy("key").agg(
-            F.count("*").alias("n"), F.min("member").alias("centre")).where("n > 1"))
-        sized = parts.join(sizes, "key")
+def candidate_pairs(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
+    """Comparisons that buckets with several components still need, as distinct (a, b), a > b.
+
+    Each component of a bucket is compared with one of them, the centre: at first the text that
+    meets most others, in later turns another one for each turn. From the second turn on, up to
+    PAIRED_PARTS components of a bucket are also compared with each other, a bounded number a
+    row. Turns go on while they find links, so a dense bucket of any size takes work in
+    proportion to its members and turns, and never lists its pairs."""
+    if found is None:
+        parts = held.select("key", F.col("uid").alias("part"), F.struct("met", "uid").alias("m"))
+    else:
+        parts = materialize(
+            held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left")
+            .groupBy("key", F.coalesce("label", "uid").alias("part"))
+            .agg(F.max(F.struct("met", "uid")).alias("m")))
+    order = F.col("m.met") if turn < 2 else F.xxhash64("m.uid", F.lit(turn))
+    centres = materialize(parts.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.max(F.struct(order.alias("o"), F.col("m.uid").alias("uid"))).alias("c"))
+        .where("n > 1").select("key", "n", F.col("c.uid").alias("centre")))
+    sized = parts.join(centres, "key")
+    pairs = sized.select(F.col("m.uid").alias("a"), F.col("centre").alias("b"))
+    if turn:
         few = (sized.where(F.col("n") <= PAIRED_PARTS).groupBy("key")
-               .agg(F.collect_set("member").alias("m")))
-        pairs = few.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b"))
-        out = pairs if out is None else out.unionByName(pairs)
-        large = sizes.where(F.col("n") > PAIRED_PARTS)
-        if large.isEmpty():
-            break
-        if depth == REFINED:
-            out = out.unionByName(sized.where(F.col("n") > PAIRED_PARTS).select(
-                F.col("member").alias("a"), F.col("centre").alias("b")))
-        else:
-            further = keys.select(F.col("uid").alias("member"), F.col("key").alias("next"))
-            parts = materialize(
-                parts.join(large.select("key"), "key", "left_semi").join(further, "member")
-                .where("next <> key").select(F.xxhash64("key", "next").alias("key"), "member"))
-    return out.where("a > b").distinct()
+               .agg(F.collect_set("m.uid").alias("u")))
+        pairs = pairs.unionByName(
+            few.select(F.explode("u").alias("a"), "u").select("a", F.explode("u").alias("b")))
+    return (pairs.where("a <> b")
+            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bag_minhash, exact_dedup, language, packing
+from . import (
+    bag_minhash, exact_dedup, language, packing, quality, sentencepiece_viterbi, sharding,
+)
 from .common import table
 from .registry import query
 
@@ -39,3 +41,42 @@ def op9_packing(spark, sf_dir):
 def op2_language(spark, sf_dir):
     """Language of each document by cross-parsing."""
     return language.predict_language(table(spark, sf_dir, "documents"))
+
+
+def _shard_sql() -> str:
+    """Leaf of each document: the shortest prefix of its key whose bytes fit."""
+    deepest = 24
+    keyed = ("SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, "
+             "lpad(bin(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT), 60, '0') "
+             "AS k FROM documents")
+    levels = f"SELECT doc_id, n_bytes, d AS depth, k[:d] AS shard FROM k, range(0, {deepest}) r(d)"
+    return f"""
+WITH k AS ({keyed}), l AS ({levels}),
+s AS (SELECT *, sum(n_bytes) OVER w AS shard_bytes, count(*) OVER w AS shard_rows
+      FROM l WINDOW w AS (PARTITION BY depth, shard))
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(depth AS BIGINT) AS depth, shard,
+       CAST(shard_bytes AS BIGINT) AS shard_bytes, shard_rows
+FROM s WHERE shard_bytes <= {sharding.SHARD_BYTES} OR shard_rows = 1
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth) = 1
+"""
+
+
+@query(_shard_sql())
+def op3_sharding(spark, sf_dir):
+    """Shard of each document by extendible hashing."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_sentencepiece(spark, sf_dir):
+    """Piece ids of each document, with the round trip."""
+    import public_tokenizers
+
+    return sentencepiece_viterbi.encode_documents(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op7_quality(spark, sf_dir):
+    """Counts and verdict of each document."""
+    return quality.quality(table(spark, sf_dir, "documents"))
