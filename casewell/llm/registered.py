@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F  # noqa: F401
 
 from . import (
-    bag_minhash, exact_dedup, language, packing, quality, sentencepiece_viterbi, sharding,
+    bag_minhash, exact_dedup, language, packing, pii, quality, sentencepiece_viterbi, sharding,
 )
 from .common import table
 from .registry import query
@@ -80,3 +80,9 @@ def op6_sentencepiece(spark, sf_dir):
 def op7_quality(spark, sf_dir):
     """Counts and verdict of each document."""
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_pii(spark, sf_dir):
+    """Personal data in each document."""
+    return pii.find_pii(table(spark, sf_dir, "documents"))
