@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F  # noqa: F401
 
 from . import (
-    bag_minhash, exact_dedup, language, packing, pii, quality, sentencepiece_viterbi, sharding,
+    bag_minhash, exact_dedup, html_text, language, packing, pii, quality, sentencepiece_viterbi,
+    sharding, warc,
 )
-from .common import table
+from .common import scratch_path, table
 from .registry import query
 
 
@@ -86,3 +87,30 @@ def op7_quality(spark, sf_dir):
 def op4_pii(spark, sf_dir):
     """Personal data in each document."""
     return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_html_text(spark, sf_dir):
+    """Main text of each page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+         CAST(unhex(sha1(coalesce(html, ''))) AS BIT)::VARCHAR AS bits,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j:
+           CAST(substr(bits, CAST(5 * i + j + 1 AS INTEGER), 1) AS INTEGER)
+           * CAST(pow(2, 4 - j) AS INTEGER)))::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM p
+""")
+def op10_warc(spark, sf_dir):
+    """Records of the archives of all pages, as read back."""
+    folder = scratch_path(spark, "warc")
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder, roll_bytes=4 << 20)
+    return warc.read_warc(manifest, folder).drop("file")
