@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from casewell.llm import exact_dedup
+from casewell.llm import bag_minhash, exact_dedup, packing, pii, quality
 from casewell.llm.common import scratch_path
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are outliers of their group go."""
+    return quality.drop_low_quality(docs)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return exact_dedup.drop_exact(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays."""
+    return bag_minhash.drop_near(docs)
+
+
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs).selectExpr(*[
+        "cast(char_length(text) as bigint) as n_chars" if c == "n_chars" else f"`{c}`"
+        for c in docs.columns])
+
 
-#: Iterative estimates, hashed signatures and tokenizers are beyond SQL.
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of several context sizes."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                  public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", keep_quality), ("exact", exact), ("near", near), ("personal", personal),
+          ("packing", pack)]
+
+#: Iterative estimates, hashed signatures, boosted trees and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet and read by the next."""
+    """All stages over `documents`; each result is written as Parquet and read by the next.
+
+    Rows of `documents` may hold nulls, repeat or be absent: each stage's operator says what it
+    does with them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"pipeline-{name.replace(' ', '-')}")
+        path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
