@@ -157,27 +157,23 @@ def features(found: list[Block]) -> list[tuple[float, ...]]:
 PLACED = ((1, 0, 0, 0), (1, 0, 1, 0), (1, 1, 1, 0), (0, 1, 1, 1), (0, 0, 1, 0))
 SIZES = ((1, 0.0), (2, 1.0), (5, 0.4), (9, 0.0), (25, 0.1), (30, 1.0), (70, 0.0), (250, 0.05))
 BESIDE = ((0, 0.0), (2, 1.0), (6, 0.0), (60, 0.0))
-#: On other pages sizes and links decide: features as above, then the label.
-LABELLED = (
-    # pages without article: long blocks with few links, and short ones between them
-    (0, 0, 0, 60, 0.0, 50, 0.0, 70, 0.0, 1), (0, 0, 0, 35, 0.1, 3, 1.0, 60, 0.0, 1),
-    (0, 0, 0, 20, 0.0, 18, 0.0, 25, 0.1, 1), (0, 0, 0, 12, 0.0, 60, 0.0, 70, 0.0, 1),
-    (0, 0, 0, 6, 0.0, 40, 0.0, 55, 0.0, 1), (0, 0, 0, 8, 0.0, 3, 1.0, 60, 0.0, 1),
-    (0, 0, 0, 100, 0.2, 0, 0.0, 0, 0.0, 1), (0, 0, 0, 5, 0.0, 0, 0.0, 80, 0.0, 1),
-    (0, 0, 0, 3, 0.0, 45, 0.0, 30, 0.0, 1), (0, 0, 0, 7, 0.0, 70, 0.0, 9, 0.0, 1),
-    (0, 0, 0, 2, 1.0, 2, 1.0, 3, 1.0, 0), (0, 0, 0, 40, 0.9, 20, 0.8, 5, 1.0, 0),
-    (0, 0, 0, 6, 1.0, 70, 0.0, 4, 1.0, 0), (0, 0, 0, 4, 0.0, 3, 1.0, 5, 1.0, 0),
-    (0, 0, 0, 3, 0.0, 4, 1.0, 2, 0.0, 0), (0, 0, 0, 9, 0.6, 5, 0.5, 8, 0.7, 0),
-    (0, 0, 0, 1, 1.0, 0, 0.0, 2, 1.0, 0), (0, 0, 0, 15, 0.8, 50, 0.0, 60, 0.0, 0),
-    (0, 0, 0, 2, 0.0, 1, 0.0, 3, 0.0, 0), (0, 0, 0, 4, 0.0, 2, 0.0, 0, 0.0, 0),
-)
+#: On other pages sizes and links decide: (words, link density, label). Short blocks without
+#: links (label None) follow their neighbours: text beside a long block of text, else not.
+SIZED = ((2, 1.0, 0), (6, 0.6, 0), (15, 0.8, 0), (40, 0.9, 0), (80, 0.7, 0), (16, 0.0, 1),
+         (25, 0.1, 1), (40, 0.0, 1), (70, 0.05, 1), (150, 0.2, 1), (400, 0.0, 1),
+         (1, 0.0, None), (4, 0.0, None), (9, 0.1, None))
 
 
 def labelled() -> list[tuple]:
-    """The rows of the table, the ones by size as often as there are neighbours."""
-    placed = [(*row[:3], *own, *one, *other, row[3]) for row in PLACED for own in SIZES
-              for one in BESIDE for other in BESIDE]
-    return placed + [row for row in LABELLED for _ in BESIDE]
+    """The rows of the table, once for each pair of neighbours."""
+    out = []
+    for one in BESIDE:
+        for other in BESIDE:
+            out += [(*row[:3], *own, *one, *other, row[3]) for row in PLACED for own in SIZES]
+            beside_text = int(max(one, other)[0] >= 20)
+            out += [(0, 0, 0, words, links, *one, *other, beside_text if label is None else label)
+                    for words, links, label in SIZED]
+    return out
 
 
 def grow(rows, depth: int = 8):
