@@ -74,12 +74,14 @@ def suffix_automaton(codes: list[int], size: int) -> np.ndarray:
 
 def parse_table(automaton: np.ndarray) -> np.ndarray:
     """Greedy parsing as one table: entry (state, code) is twice the offset of the next state's
-    row plus 1 if a phrase ended before the code. A code that no match continues with begins the
-    next phrase at the root; one unknown there is a phrase of its own."""
+    row plus 1 if the code begins a phrase: no match continues with it, or the walk stands at the
+    root, after a code that is unknown there and so a phrase of its own."""
     states, size = automaton.shape
     root = automaton[0]
     following = np.where(automaton >= 0, automaton, np.where(root >= 0, root, 0)[None, :])
-    return (following.astype(np.int64) * size * 2 + (automaton < 0)).astype(np.int32).ravel()
+    begins = automaton < 0
+    begins[0] = True
+    return (following.astype(np.int64) * size * 2 + begins).astype(np.int32).ravel()
 
 
 class Model:
@@ -138,13 +140,13 @@ def phrases(model: Model, points: np.ndarray, texts: list[str]) -> tuple[np.ndar
         live = np.searchsorted(-n, -np.arange(BLOCK), side="left")  # blocks longer than j
         grid = [code[s[:live[j]] + j].astype(np.int32) for j in range(int(n[0]))]
         for l, table in enumerate(model.tables):
-            state, ended = np.zeros(len(s), np.int32), np.ones(len(s), np.int32)
+            state, begun = np.zeros(len(s), np.int32), np.zeros(len(s), np.int32)
             for column in grid:
                 m = len(column)
                 value = table[state[:m] + column]
-                ended[:m] += value & 1
+                begun[:m] += value & 1
                 state[:m] = value >> 1
-            np.add.at(count[:, l], w, ended)
+            np.add.at(count[:, l], w, begun)
     return count, sizes
 
 
