@@ -271,7 +271,9 @@ def apply_resolutions(
     if set_note:
         columns["resolution_days"] = F.when(hit, F.lit(1.0)).otherwise(F.col("resolution_days"))
         if "resolution_note" in register.columns:
-            note = F.when(hit, F.col("_v.resolution_note")).otherwise(F.col("resolution_note"))
+            # a verdict without a note leaves the note that is there
+            note = F.when(hit & F.col("_v.resolution_note").isNotNull(),
+                          F.col("_v.resolution_note")).otherwise(F.col("resolution_note"))
         else:
             note = F.when(hit, F.col("_v.resolution_note"))
         columns["resolution_note"] = note

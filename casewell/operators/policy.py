@@ -255,6 +255,7 @@ def parse_draft(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 TREND = T.StructType([
     T.StructField("executive_summary", T.StringType()),
+    T.StructField("root_cause_analysis", T.StringType()),
     T.StructField("top_concerns", T.ArrayType(T.StringType())),
     T.StructField("recommended_actions", T.ArrayType(T.StringType())),
     T.StructField("risk_alert", T.StringType()),
@@ -263,15 +264,22 @@ TREND = T.StructType([
 
 
 def parse_trend(df: DataFrame, raw: str = "raw") -> DataFrame:
-    empty = {"executive_summary": "", "top_concerns": [], "recommended_actions": [],
+    empty = {"executive_summary": "", "root_cause_analysis": "", "top_concerns": [], "recommended_actions": [],
              "risk_alert": "", "positive_note": ""}
     return parse_record(df, TREND, empty, raw)
 
 
-VERDICT = T.StructType(S.VERDICT_SCHEMA.fields[1:])
+#: A verdict comes in one of two shapes; each field has a name in both.
+VERDICT_NAMES = {"can_auto_resolve": "auto_resolve", "reasoning": "audit_reasoning",
+                 "resolution_note": "resolution_message"}
+VERDICT = T.StructType([
+    T.StructField(name, field.dataType) for field in S.VERDICT_SCHEMA.fields[1:]
+    for name in (field.name, VERDICT_NAMES[field.name])])
 
 
 def parse_verdict(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Verdict answers; an unreadable one resolves nothing."""
-    return parse_record(
-        df, VERDICT, {"can_auto_resolve": False, "reasoning": "", "resolution_note": ""}, raw)
+    """Verdict answers in either shape; an unreadable one resolves nothing."""
+    empty = {f.name: False if isinstance(f.dataType, T.BooleanType) else "" for f in VERDICT.fields}
+    rows = parse_record(df, VERDICT, empty, raw)
+    return rows.withColumns({a: F.coalesce(a, b) for a, b in VERDICT_NAMES.items()}).drop(
+        *VERDICT_NAMES.values())

@@ -1,8 +1,9 @@
 """Deadlines that pass as time moves on: one event-time timer per complaint.
 
 Events are (complaint_id, event_time, due_date, status). A due date arms or re-arms the
-timer, the status Resolved cancels it, and each deadline fires once. State is two values per
-complaint; rows of a key are consumed one by one."""
+timer, the status Resolved cancels it, and each deadline fires once. The newest event of a
+complaint by event time decides, in whatever batch it comes: state holds its time beside the
+armed deadline, and older events change nothing."""
 
 from __future__ import annotations
 
@@ -36,6 +37,9 @@ class DeadlineTimer(StatefulProcessor):
         self.armed = handle.getValueState("armed", T.StructType([
             T.StructField("due_ms", T.LongType()),
         ]))
+        self.newest = handle.getValueState("newest", T.StructType([
+            T.StructField("event_ms", T.LongType()),
+        ]))
 
     def _disarm(self) -> None:
         if self.armed.exists():
@@ -48,6 +52,10 @@ class DeadlineTimer(StatefulProcessor):
             if last is None or row.event_time >= last.event_time:
                 last = row
         if last is not None:
+            at = _millis(last.event_time)
+            if self.newest.exists() and int(self.newest.get()[0]) > at:
+                return
+            self.newest.update((at,))
             if last.status == "Resolved":
                 self._disarm()
             elif last.due_date is not None:
