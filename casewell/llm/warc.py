@@ -131,9 +131,9 @@ def _write(folder: str):
                     sink, verdicts = Counted(f"{root}/.{name}.{attempt}.tmp"), {}
                     sink.member(_info(name))
                 if page is None:
-                    verdicts[uid] = digest, first, revisit
+                    verdicts = {uid: (digest, first, revisit)}  # its pages follow, repeated ones too
                     continue
-                digest, first, revisit = verdicts.pop(uid)
+                digest, first, revisit = verdicts[uid]
                 sink.member(record(page_id, url, page, digest, first, revisit))
                 sink.records += 1
         close()
