@@ -84,6 +84,9 @@ class Encoder(dict):
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
+        self.table = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of
+                      else t.replace(SPACE, " ").encode() for i, t in enumerate(pieces.text)]
+        self.lossy = False  # whether the last text holds a word that decodes otherwise
         self.automaton = Automaton({i: pieces.text[i] for i in pieces.scores})
 
     def segment(self, text: str) -> list[int]:
@@ -130,14 +133,19 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) > MEMO_WORDS:
             self.clear()
-        found = np.array(self.word(word), "<i4").tobytes()
-        if len(word) <= 64:
+        ids = self.word(word)
+        found = np.array(ids, "<i4").tobytes()
+        broken = b"".join([self.table[i] for i in ids]) != word.replace(SPACE, " ").encode(
+            "utf-8", "surrogatepass")
+        self.lossy |= broken
+        if len(word) <= 64 and not broken:  # a broken word comes here each time it occurs
             self[word] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text: spaces become their sign, one is put in front, and each run of signs
-        begins a word."""
+        begins a word. `lossy` then says whether decoding gives another text."""
+        self.lossy = False
         if not text:
             return np.zeros(0, "<i4")
         words = text.replace(SPACE, " ").split(" ")
@@ -175,17 +183,14 @@ def _encoder(path: str):
         encoder = Encoder(pieces)
         as_bytes = np.zeros(len(pieces.text), bool)
         as_bytes[list(pieces.byte_of)] = True
-        # decoding by table: the bytes of each id
-        table = np.array([bytes([pieces.byte_of[i]]) if i in pieces.byte_of
-                          else t.replace(SPACE, " ").encode() for i, t in enumerate(pieces.text)],
-                         dtype=object)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for k in range(0, len(texts), 500):
                 part = texts[k:k + 500]
-                ids = [encoder.encode(t) for t in part]
-                same = [b"".join(table[x]) == (b" " + t.replace(SPACE, " ").encode() if t else b"")
-                        for x, t in zip(ids, part, strict=True)]
+                ids, same = [], []
+                for t in part:
+                    ids.append(encoder.encode(t))
+                    same.append(not encoder.lossy)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(k, len(part)),
