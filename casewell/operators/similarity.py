@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import MATCH_BANDS, band
 from ..functions.text import ellipsis, prefix_key, strip
 from ..schema import DUPLICATE_ABOVE, NEAR_COPY
-from ..session import materialize, spread_small
+from ..session import materialize
 from .vectors import knn
 
 
@@ -195,12 +195,11 @@ def exact_duplicates(df: DataFrame, text: str = "complaint_text", key: str = "co
     """Rows whose normalised text occurs more than once: (key, first key of the group, copies).
 
     Texts are read and hashed once; only (key, hash) is kept. Group sizes are combined before
-    the shuffle; groups are joined back as rows and never collected, and a hot group is split
-    by the adaptive skew join."""
-    rows = df.where(F.col(text).isNotNull()).select(key, text)
-    hashed = materialize(spread_small(rows, rows.count()).select(
+    the shuffle; groups are stored and joined back as rows, never collected. Each side of that
+    join has a shuffle of its own, so the adaptive skew join can split a hot group."""
+    hashed = materialize(df.where(F.col(text).isNotNull()).select(
         F.col(key), F.sha2(normal_text(text), 256).alias("_h")))
-    groups = hashed.groupBy("_h").agg(
+    groups = materialize(hashed.groupBy("_h").agg(
         F.min(key).alias("first_id"), F.count(F.lit(1)).alias("copies")
-    ).where(F.col("copies") > 1)
+    ).where(F.col("copies") > 1))
     return hashed.join(groups, "_h").select(key, "first_id", "copies")

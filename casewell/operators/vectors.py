@@ -14,8 +14,7 @@ Work is shared out in these steps:
     matrix product and keeps the best k+1 per query; pairs are never listed.
 4.  The short lists are merged by a window with a limit.
 
-A base whose measured size is below `BROADCAST_BYTES` skips 2 and 3: it is sent to the tasks
-that hold the queries."""
+Tables of every size take this one way."""
 
 from __future__ import annotations
 
@@ -27,9 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize, spread_small
+from ..session import materialize
 
-BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 16_384
 MAX_PIVOTS = 1_024
 RINGS = 64
@@ -115,7 +113,6 @@ def knn(
     id_col: str = "id",
     vec_col: str = "embedding",
     exclude_self: bool = True,
-    broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exact k nearest base rows per query row by cosine: (query_id, neighbour_id,
@@ -127,9 +124,12 @@ def knn(
     same = queries is base
     b = _keyed(base, id_col, vec_col)
     q = b if same else _keyed(queries, id_col, vec_col)
-    n, dim = _shape(b)
-    if n * dim * 8 <= broadcast_bytes:
-        return _knn_broadcast(q, b, k, min_sim, exclude_self)
+    n, _ = _shape(b)
+    if not n:  # nothing to find
+        return q.select(F.col("id").alias("query_id"), *[
+            F.lit(None).cast(t).alias(c) for c, t in (
+                ("neighbour_id", b.schema["id"].dataType), ("similarity", "double"),
+                ("rank", "int"))]).limit(0)
     return _knn_blocked(q, b, same, n, k, min_sim, exclude_self, block_rows)
 
 
@@ -142,20 +142,22 @@ def knn_lsh(
     vec_col: str = "embedding",
     exclude_self: bool = True,
     tables: int = 8,
-    bits: int | None = None,
+    bits: int = 8,
     seed: int = 7,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Approximate form: a query is compared only with base rows that share one of `tables`
     random-plane signatures of `bits` bits. Every pair found is a true pair with its exact
-    similarity; pairs may be missing. Large buckets are cut into pieces like any group."""
+    similarity; pairs may be missing. Large buckets are cut into pieces like any group.
+
+    `tables` and `bits` are fixed whatever the size of the base, so that recall does not change
+    as it grows: a pair at angle a is met with probability 1 - (1 - (1 - a / pi)^bits)^tables."""
+    if tables << bits > MAX_HASH_GROUPS:
+        raise ValueError(f"tables * 2^bits is more than {MAX_HASH_GROUPS} groups")
     same = queries is base
     b = _keyed(base, id_col, vec_col)
     q = b if same else _keyed(queries, id_col, vec_col)
-    n, dim = _shape(b)
-    if bits is None:
-        bits = max(2, math.ceil(math.log2(max(2.0, n / block_rows))))
-    bits = min(bits, int(math.log2(MAX_HASH_GROUPS / tables)))
+    _, dim = _shape(b)
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     weights = (1 << np.arange(bits)).astype(np.int64)
 
@@ -179,53 +181,7 @@ def knn_lsh(
     return _merge(hits, q, k, exclude_self, repeated=True)
 
 
-# -- small base ------------------------------------------------------------------
-
-def _knn_broadcast(q, b, k, min_sim, exclude_self) -> DataFrame:
-    spark = q.sparkSession
-    id_type = b.schema["id"].dataType.simpleString()
-    held = b.select("id", "vec").toPandas().sort_values("id", kind="stable", ignore_index=True)
-    schema = (f"query_id {q.schema['id'].dataType.simpleString()}, neighbour_id {id_type}, "
-              "similarity double, rank int")
-    if held.empty:
-        return spark.createDataFrame([], schema)
-    # equal vectors share one row of the matrix, so that their similarities are equal too
-    raw = np.stack([np.asarray(v, dtype=np.float32) for v in held["vec"]])
-    _, first, inverse = np.unique(
-        np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1] * 4))).ravel(),
-        return_index=True, return_inverse=True,
-    )
-    shared = spark.sparkContext.broadcast(
-        (held["id"].to_numpy(), _unit(raw[first]), inverse.ravel())
-    )
-    floor = -2.0 if min_sim is None else float(min_sim)
-
-    def probe(batches):
-        ids, matrix, inv = shared.value
-        index = pd.Index(ids) if exclude_self else None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            rows = _unit(pdf["vec"])
-            qid = pdf["id"].to_numpy()
-            for part in _steps(len(rows), ids.size):
-                sims = (rows[part] @ matrix.T)[:, inv]
-                if exclude_self:
-                    own = index.get_indexer(qid[part])
-                    hit = np.nonzero(own >= 0)[0]
-                    sims[hit, own[hit]] = -3.0
-                r, c, v = _best(sims, k, np.full(sims.shape[0], floor))
-                rank = np.arange(r.size) - np.searchsorted(r, r, side="left") + 1
-                yield pd.DataFrame({
-                    "query_id": qid[part][r], "neighbour_id": ids[c], "similarity": v,
-                    "rank": rank.astype(np.int32),
-                })
-
-    todo = q.select("id", "vec")
-    return spread_small(todo, todo.count()).mapInPandas(probe, schema)
-
-
-# -- large base --------------------------------------------------------------------
+# -- exact search -------------------------------------------------------------
 
 def _with(df: DataFrame, *fields: str) -> T.StructType:
     extra = T._parse_datatype_string(", ".join(fields))
@@ -406,7 +362,9 @@ def _merge(hits: DataFrame, q: DataFrame, k: int, exclude_self: bool, repeated:
         .groupBy("h1", "h2")
         .agg(F.sort_array(F.collect_list(F.struct("_r", "nid", "sim"))).alias("best"))
     )
-    rows = q.select("id", "h1", "h2").join(best, ["h1", "h2"])
+    # stored, so that both sides have a shuffle of their own and a vector that many rows share
+    # can be split by the adaptive skew join
+    rows = q.select("id", "h1", "h2").join(materialize(best), ["h1", "h2"])
     mine = F.col("best")
     if exclude_self:
         mine = F.filter("best", lambda x: x["nid"] != F.col("id"))

@@ -31,9 +31,9 @@ def knn_exact(spark, d):
 @query(X.with_(X.NN) + "SELECT query_id, neighbour_id, round(similarity, 6) AS similarity, rank "
        f"FROM nn WHERE rank <= 5 AND similarity >= {LOW}")
 def knn_exact_blocked(spark, d):
-    """The form for large bases, forced; pivots, rings and pieces instead of a broadcast."""
+    """Small pieces and a threshold."""
     vec = _vectors(spark, d)
-    return _rounded(knn(vec, vec, 5, LOW, broadcast_bytes=0, block_rows=512))
+    return _rounded(knn(vec, vec, 5, LOW, block_rows=512))
 
 
 @query()

@@ -42,7 +42,7 @@ def stratified_split(spark, d):
 @query(X.with_(X.term_ctes()) + "SELECT term, count, df, round(idf, 9) AS idf FROM idf")
 def tfidf_vocabulary(spark, d):
     docs = _docs(spark, d)
-    vocab = cl.vocabulary(cl.term_counts(docs, "text", "doc_id"), docs.count())
+    vocab = cl.vocabulary(cl.term_stats(docs, "text"), docs.count())
     return vocab.withColumn("idf", F.round("idf", 9))
 
 
@@ -112,7 +112,7 @@ def classification_report(spark, d):
 def train_and_report(spark, d):
     """Language classifier on four fifths of the documents, report on the rest."""
     split = cl.stratified_split(_docs(spark, d), "lang", "doc_id")
-    model = cl.train_classifier(split.where(~F.col("is_test")), "lang", "text", tol=1e-3)
+    model = cl.train_classifier(split.where(~F.col("is_test")), "lang", "text")
     scored = cl.predict(split.where("is_test"), {"lang": model})
     return cl.classification_report(scored, "lang", "predicted_lang")
 
@@ -136,7 +136,7 @@ def models(spark, d):
     if key not in _SAVED:
         path = scratch_path(spark, "models")
         save_models(cl.train_models(_labelled(spark, d), C=1.0, balanced=False, stop_words=[],
-                                    sublinear=False, max_iter=60, tol=1e-3), path)
+                                    sublinear=False), path)
         _SAVED[key] = path
     return load_models(_SAVED[key], cl.TARGETS)
 

@@ -62,12 +62,3 @@ def materialize(df: DataFrame) -> DataFrame:
     share the work and a lost executor costs a re-read, not a re-run."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, n: int, min_rows: int = 64, max_rows: int = 200_000) -> DataFrame:
-    """A small input is often one file split; give its n rows to all cores before costly
-    per-row work. Larger inputs have splits enough and are left where they are."""
-    if n > max_rows:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(1, min(cores, n // min_rows)))

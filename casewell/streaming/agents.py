@@ -3,7 +3,7 @@ resolution run."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
@@ -29,13 +29,20 @@ RESOLUTION_LOG = T.StructType([
 ])
 
 
+def newest(batch: DataFrame) -> DataFrame:
+    """The newest row of each complaint; of equal times the one with the largest hash."""
+    order = Window.partitionBy("complaint_id").orderBy(
+        F.desc("created_date"), F.desc(F.xxhash64(*batch.columns)))
+    return batch.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+
+
 def triage_batch(batch: DataFrame, batch_id: int, as_of: Clock, store: str, messages: str
                  ) -> None:
     """Escalate what the batch adds. Complaints escalated by earlier batches are skipped, and
     a repeated batch overwrites its own folder only."""
     spark = batch.sparkSession
     done = read_store(spark, store, TRIAGE_LOG, before=batch_id)
-    new = auto_triage(batch.dropDuplicates(["complaint_id"]), as_of, done)
+    new = auto_triage(newest(batch), as_of, done)
     write_batch(new, store, batch_id)
     written = read_store(spark, store, TRIAGE_LOG, only=batch_id)
     write_batch(triage_messages(written), messages, batch_id)

@@ -49,7 +49,7 @@ def skewed(spark):
     return frame(spark, m).cache()
 
 
-FORMS = {"broadcast": {}, "blocked": {"broadcast_bytes": 0, "block_rows": 40}}
+FORMS = {"default": {}, "small pieces": {"block_rows": 40}}
 
 
 @pytest.mark.parametrize("form", FORMS)
