@@ -3,13 +3,17 @@
 An Aho-Corasick automaton over the pieces is read once over the text. At each position the
 output links give every piece that ends there, from the longest to its suffixes, and each
 relaxes the best score of a segmentation up to the position (Viterbi). Characters that no piece
-covers become bytes. No piece joins a word with the next, so words are encoded one by one and
+covers become bytes. A border between two characters that no piece holds side by side is a border
+of every segmentation, so texts are cut there and the parts are encoded one by one and
 remembered."""
 
 from __future__ import annotations
 
+import re
+import struct
 from collections import deque
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 
 #: The sign for a space, the penalty below the worst score for a character without a piece, and
-#: remembered words of a worker.
-SPACE, PENALTY, MEMO_WORDS = "▁", 10.0, 300_000
+#: remembered parts of a worker.
+SPACE, PENALTY, MEMO_WORDS = "▁", 10.0, 500_000
 
 ENCODED = "doc_id bigint, n_tokens bigint, n_bytes_tokens bigint, ids array<int>, same boolean"
 
@@ -48,9 +52,10 @@ class Pieces:
 
 class Automaton:
     """Aho-Corasick: a trie with failure links; an output link leads from a state to the next
-    shorter piece that ends there."""
+    shorter piece that ends there. `ends` holds, for each state, the (length, id, score) met on
+    its output links, the longest first."""
 
-    def __init__(self, pieces: dict[int, str]):
+    def __init__(self, pieces: dict[int, str], scores: dict[int, float]):
         self.next: list[dict[str, int]] = [{}]
         self.piece = [-1]
         self.length = [0]
@@ -65,9 +70,12 @@ class Automaton:
                 state = self.next[state][c]
             self.piece[state] = i
         self.fail, self.out = [0] * len(self.next), [0] * len(self.next)
+        self.ends: list[tuple] = [()] * len(self.next)
         todo = deque(self.next[0].values())
         while todo:
             state = todo.popleft()
+            own, i = self.ends[self.out[state]], self.piece[state]
+            self.ends[state] = ((self.length[state], i, scores[i]), *own) if i >= 0 else own
             for c, to in self.next[state].items():
                 fail = self.fail[state]
                 while fail and c not in self.next[fail]:
@@ -79,42 +87,50 @@ class Automaton:
 
 
 class Encoder(dict):
-    """Ids (little-endian 32 bits) of a word, remembered."""
+    """Ids (little-endian 32 bits) of a part of a text, remembered."""
 
     def __init__(self, pieces: Pieces):
         super().__init__()
         self.pieces = pieces
         self.table = [bytes([pieces.byte_of[i]]) if i in pieces.byte_of
                       else t.replace(SPACE, " ").encode() for i, t in enumerate(pieces.text)]
-        self.lossy = False  # whether the last text holds a word that decodes otherwise
-        self.automaton = Automaton({i: pieces.text[i] for i in pieces.scores})
+        self.lossy = False  # whether the last text holds a part that decodes otherwise
+        texts = {i: pieces.text[i] for i in pieces.scores}
+        self.automaton = Automaton(texts, pieces.scores)
+        self.beside = {t[k:k + 2] for t in texts.values() for k in range(len(t) - 1)}
+        inner = any(SPACE in t.lstrip(SPACE) for t in texts.values())
+        joined = re.escape("".join(sorted({c for pair in self.beside for c in pair} - {SPACE})))
+        # parts: signs and the characters that pieces join, signs alone, or one other character
+        self.parts = re.compile(
+            f"[{SPACE}{joined}]+|[^{SPACE}{joined}]" if inner else
+            f"{SPACE}*[{joined}]+|{SPACE}+|[^{SPACE}{joined}]" if joined else "(?s:.)")
 
     def segment(self, text: str) -> list[int]:
         """Ids of the segmentation with the best sum of scores; -1 for a character without
         piece. Of equal scores the one whose last piece is longest stays."""
-        a, scores = self.automaton, self.pieces.scores
-        best, back = [0.0], [(0, -1)]
-        state = 0
-        for at, c in enumerate(text, 1):
-            while state and c not in a.next[state]:
-                state = a.fail[state]
-            state = a.next[state].get(c, 0)
-            top, how = best[at - 1] + self.pieces.worst, (at - 1, -1)
-            hit = state if a.piece[state] >= 0 else a.out[state]
+        step, fail, ends = self.automaton.next, self.automaton.fail, self.automaton.ends
+        worst = self.pieces.worst
+        best, sizes, taken = [0.0], [1], [-1]
+        state = at = 0
+        for c in text:
+            while state and c not in step[state]:
+                state = fail[state]
+            state = step[state].get(c, 0)
+            top, length, piece = best[at] + worst, 1, -1
+            at += 1
             seen = False
-            while hit:
-                size = a.length[hit]
-                score = best[at - size] + scores[a.piece[hit]]
+            for size, i, score in ends[state]:
+                score += best[at - size]
                 if score > top or (not seen and size == 1 and score >= top):
-                    top, how = score, (at - size, a.piece[hit])
+                    top, length, piece = score, size, i
                 seen = True
-                hit = a.out[hit]
             best.append(top)
-            back.append(how)
-        ids, at = [], len(text)
+            sizes.append(length)
+            taken.append(piece)
+        ids = []
         while at:
-            at, i = back[at]
-            ids.append(i)
+            ids.append(taken[at])
+            at -= sizes[at]
         return ids[::-1]
 
     def word(self, text: str) -> list[int]:
@@ -130,36 +146,38 @@ class Encoder(dict):
             at += 1
         return ids
 
-    def __missing__(self, word: str) -> bytes:
+    def cut(self, part: str) -> list[str]:
+        """The part cut wherever no piece holds the two characters side by side."""
+        borders = [at for at, pair in enumerate(map(add, part, part[1:]), 1)
+                   if pair not in self.beside]
+        return [part[i:j] for i, j in zip([0, *borders], [*borders, len(part)], strict=True)]
+
+    def __missing__(self, part: str) -> bytes:
         if len(self) > MEMO_WORDS:
             self.clear()
-        ids = self.word(word)
-        found = np.array(ids, "<i4").tobytes()
-        broken = b"".join([self.table[i] for i in ids]) != word.replace(SPACE, " ").encode(
-            "utf-8", "surrogatepass")
-        self.lossy |= broken
-        if len(word) <= 64 and not broken:  # a broken word comes here each time it occurs
-            self[word] = found
+        smaller = self.cut(part)
+        if len(smaller) > 1:
+            before, self.lossy = self.lossy, False
+            found = b"".join(map(self.__getitem__, smaller))
+            broken = self.lossy
+            self.lossy |= before
+        else:
+            ids = self.word(part)
+            found = struct.pack(f"<{len(ids)}i", *ids)
+            broken = b"".join([self.table[i] for i in ids]) != part.replace(SPACE, " ").encode(
+                "utf-8", "surrogatepass")
+            self.lossy |= broken
+        if len(part) <= 64 and not broken:  # a broken part comes here each time it occurs
+            self[part] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text: spaces become their sign, one is put in front, and each run of signs
-        begins a word. `lossy` then says whether decoding gives another text."""
+        """Ids of a text: spaces become their sign and one is put in front. `lossy` then says
+        whether decoding gives another text."""
         self.lossy = False
         if not text:
             return np.zeros(0, "<i4")
-        words = text.replace(SPACE, " ").split(" ")
-        if "" not in words:
-            parts = [SPACE + w for w in words]
-        else:  # runs of spaces stay together before their word
-            parts, run = [], ""
-            for w in words:
-                run += SPACE
-                if w:
-                    parts.append(run + w)
-                    run = ""
-            if run:
-                parts.append(run)
+        parts = self.parts.findall(SPACE + text.replace(" ", SPACE))
         return np.frombuffer(b"".join(map(self.__getitem__, parts)), "<i4")
 
 
