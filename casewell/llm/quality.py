@@ -159,22 +159,23 @@ def half_of(bins: DataFrame, by: list[str]) -> DataFrame:
 
 
 def robust_fit(rows: DataFrame) -> DataFrame:
-    """(g, m0.., c00..): the minimum-covariance-determinant fit of each group of (g, z_...)."""
-    fits = [materialize(_medians(rows)), materialize(_moments(rows, ["g"]).drop("n"))]
-    ends = []
-    for fit in fits:
-        for _ in range(STEPS):
-            near = with_distance(rows.select("g", *STATISTICS).join(factor(fit), "g"))
-            # bins of the logarithm: about 2 % of a distance
-            near = near.withColumn("b", F.floor(F.log(F.greatest("d2", F.lit(1e-9))) / BIN))
-            cut = half_of(near.groupBy("g", "b").agg(F.count("*").alias("n")), ["g"])
-            kept = near.select("g", "b", *STATISTICS).join(
-                materialize(cut).withColumnRenamed("b", "last"), "g").where("b <= last")
-            fit = materialize(_moments(kept, ["g"]).drop("n"))
-        ends.append(factor(fit))
-    both = ends[0].unionByName(ends[1])
-    best = both.groupBy("g").agg(F.min(F.struct("logdet", *[c for c in ends[0].columns
-                                                           if c not in ("g", "logdet")])).alias("f"))
+    """(g, m0.., c00..): the minimum-covariance-determinant fit of each group of (g, z_...).
+    Both starts take their steps side by side, as groups (g, start)."""
+    by = ["g", "start"]
+    fit = materialize(
+        _medians(rows).withColumn("start", F.lit(0))
+        .unionByName(_moments(rows, ["g"]).drop("n").withColumn("start", F.lit(1))))
+    for _ in range(STEPS):
+        near = with_distance(rows.select("g", *STATISTICS).join(factor(fit), "g"))
+        # bins of the logarithm: about 2 % of a distance
+        near = near.withColumn("b", F.floor(F.log(F.greatest("d2", F.lit(1e-9))) / BIN))
+        cut = materialize(half_of(near.groupBy(*by, "b").agg(F.count("*").alias("n")), by))
+        kept = near.select(*by, "b", *STATISTICS).join(
+            cut.withColumnRenamed("b", "last"), by).where("b <= last")
+        fit = materialize(_moments(kept, by).drop("n"))
+    ends = factor(fit)
+    best = ends.groupBy("g").agg(F.min(F.struct("logdet", *[
+        c for c in ends.columns if c not in (*by, "logdet")])).alias("f"))
     return materialize(best.select("g", "f.*").drop("logdet"))
 
 
