@@ -10,7 +10,9 @@ registers are filled are drawn, so a text costs one draw per shingle and some hu
 Bands of the signature give candidates. In each bucket members are compared with a centre, the
 text that meets most others, and every candidate is verified on complete multisets. Components
 of verified links are found by repeated minimum labels; buckets that still hold several
-components are compared again through other centres for as long as that finds links."""
+components are compared again through other centres for as long as that finds links. The texts
+of buckets that then still hold many components meet once more by their rarest shingles: two
+similar texts share one of them, while texts that differ from all others own them alone."""
 
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_bytes
@@ -172,6 +174,43 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / high if high else 1.0
 
 
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for uid, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                       strict=True):
+                    e, w = shingles(word_hashes(unpack.decompress(packed), memo), size)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(e), uid, np.int64)), pa.array(e.view(np.int64)),
+                         pa.array(w)], names=["uid", "key", "w"])
+    return run
+
+
+def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """(key, uid): the rarest shingles of each text (uid, content) that another text holds too.
+
+    Shingles are ordered by the number of texts that hold them. Of a text of weight W, those are
+    taken after which less than similarity * W is left: two texts of that similarity share one
+    among the taken ones of both."""
+    held = materialize(texts.select("uid", "content")
+                       .mapInArrow(_elements(size), "uid bigint, key bigint, w bigint"))
+    often = materialize(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    known = held.join(often, "key", "left").select(
+        "uid", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "w").alias("e"))
+    # a list is one text's own shingles
+    lists = known.groupBy("uid").agg(F.sort_array(F.collect_list("e")).alias("es"),
+                                     F.sum("e.w").alias("total"))
+    order = Window.partitionBy("uid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lists.select("uid", "total", F.posexplode("es").alias("at", "e"))
+    before = rows.withColumn("before", F.coalesce(F.sum("e.w").over(order), F.lit(0)))
+    # the small number keeps rounding on the side of taking a shingle
+    return materialize(
+        before.where((F.col("total") - F.col("before") >= similarity * F.col("total") - 1e-6)
+                     & (F.col("e.n") > 1)).select(F.col("e.key").alias("key"), "uid"))
+
+
 def _verify(least: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = WordHashes(), zstandard.ZstdDecompressor()
@@ -248,15 +287,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                            .mapInArrow(_verify(similarity, words),
                                        "a bigint, b bigint, near boolean"))
 
-    done, found, turn = None, None, 0
-    while True:
-        rest = candidate_pairs(held, found, turn)
-        rest = materialize(rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
-        checked = verified(rest)
-        done = checked if done is None else done.unionByName(checked)
-        if turn and checked.where("near").isEmpty():
-            break
-        found, turn = components(done.where("near").select("a", "b")), turn + 1
+    done = found = None
+    for rare in (False, True):
+        if rare:
+            crowded = _crowded(held, found)
+            if crowded.isEmpty():
+                break
+            held = materialize(rarest(texts.join(crowded, "uid", "left_semi"), similarity, words)
+                               .join(met, "uid"))
+        turn = int(rare)  # rare buckets pair their members at once
+        while True:
+            rest = candidate_pairs(held, found, turn)
+            rest = materialize(rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
+            checked = verified(rest)
+            done = checked if done is None else done.unionByName(checked)
+            linked = checked.where("near")
+            if turn and linked.isEmpty():
+                break
+            found, turn = _joined(found, linked), turn + 1
     classes = (signed.select("uid", "doc_id", "digest").join(same, "digest")
                .join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
                .select("uid", "doc_id", F.coalesce("label", "rep").alias("group")))
@@ -269,6 +317,33 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (F.col("uid") == F.col("head.uid")).alias("kept"))
 
 
+def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (id, label) after further links (a, b)."""
+    if found is None:
+        return components(links.select("a", "b"))
+    for end in ("a", "b"):
+        links = (links.join(found.withColumnRenamed("id", end), end, "left")
+                 .withColumn(end, F.coalesce("label", end)).drop("label"))
+    moved = components(links.where("a <> b").select("a", "b").distinct())
+    known = found.select("id", F.col("label").alias("old"))
+    new = moved.select(F.col("id").alias("old"), "label")
+    # ids that had no link before are their own label
+    return materialize(
+        known.join(new, "old", "left").select("id", F.coalesce("label", "old").alias("label"))
+        .unionByName(moved.join(known.select("id"), "id", "left_anti").select("id", "label")))
+
+
+def _crowded(held: DataFrame, found: DataFrame) -> DataFrame:
+    """uid of the texts in buckets that hold more than PAIRED_PARTS components."""
+    marked = materialize(held.select("key", "uid").join(
+        found.select(F.col("id").alias("uid"), "label"), "uid", "left")
+        .select("key", "uid", F.coalesce("label", "uid").alias("part")))
+    parts = (marked.groupBy("key", "part").agg(F.lit(1).alias("one")).groupBy("key")
+             .agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_PARTS))
+    return materialize(marked.join(materialize(parts), "key", "left_semi")
+                       .select("uid").distinct())
+
+
 def candidate_pairs(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Comparisons that buckets with several components still need, as distinct (a, b), a > b.
 
