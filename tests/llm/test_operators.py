@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -99,6 +100,15 @@ def test_near_classes_equal_brute_force(spark, sf001):
         copy[k * 3] = "other"
         rows.append((10_000 + k, " ".join(copy)))
     rows.append((10_100, " ".join(base)))
+    places, crowd = random.Random(3), [f"w{i}" for i in range(300)]
+    for k in range(150):  # a crowd of texts unlike each other, some of them with a twin
+        own = list(crowd)
+        for at in places.sample(range(60), 12):
+            own[at * 5] = f"own{k}_{at}"
+        rows.append((20_000 + k, " ".join(own)))
+        if k % 12 == 0:
+            own[7] = own[150] = f"twin{k}"
+            rows.append((30_000 + k, " ".join(own)))
     found = {r.doc_id: r.class_id for r in bag_minhash.near_classes(
         spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     bags = {}
