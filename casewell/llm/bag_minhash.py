@@ -16,6 +16,7 @@ similar texts share one of them, while texts that differ from all others own the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,8 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Components of a bucket that are compared with each other.
 PAIRED_PARTS = 32
 
-SIGNED = "uid bigint, doc_id bigint, digest binary, bands array<bigint>, content binary"
+SIGNED = ("uid bigint, doc_id bigint, digest binary, bands array<bigint>, content binary, "
+          "sha binary")
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                  0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -149,19 +151,20 @@ def _sign(bands: int, rows: int, size: int):
         pack = zstandard.ZstdCompressor(level=1)
         with np.errstate(over="ignore"):
             for batch in batches:
-                digests, sets, packed = [], [], []
+                digests, sets, packed, exact = [], [], [], []
                 for content in batch.column(1).to_pylist():
                     words = word_hashes(content, memo)
                     digests.append(xxhash.xxh3_128_digest(words.tobytes()))
                     packed.append(pack.compress(content))
+                    exact.append(hashlib.sha256(content).digest())
                     sets.append(shingles(words, size))
                 keys = band_keys(sets, bands, rows)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(number, number + n), pa.int64()), batch.column(0),
                      pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
-                     pa.array(packed, pa.binary())],
-                    names=["uid", "doc_id", "digest", "bands", "content"])
+                     pa.array(packed, pa.binary()), pa.array(exact, pa.binary())],
+                    names=["uid", "doc_id", "digest", "bands", "content", "sha"])
                 number += n
     return run
 
@@ -265,6 +268,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are in one class, those without any word (null, empty, white space) too. A null doc_id comes
     after all others; of repeated rows one is kept. An empty table gives an empty result. Other
     columns are not looked at."""
+    return _classes(docs, id_col, text_col, similarity, bands, rows, words).drop("sha")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY,
+             bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
+    """The rows of near_classes, with the SHA-256 of each text."""
     signed = materialize(
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                     text_bytes(text_col).alias("content"))
@@ -305,16 +314,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if turn and linked.isEmpty():
                 break
             found, turn = _joined(found, linked), turn + 1
-    classes = (signed.select("uid", "doc_id", "digest").join(same, "digest")
+    classes = (signed.select("uid", "doc_id", "sha", "digest").join(same, "digest")
                .join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
-               .select("uid", "doc_id", F.coalesce("label", "rep").alias("group")))
+               .select("uid", "doc_id", "sha", F.coalesce("label", "rep").alias("group")))
     classes = materialize(classes)
     heads = materialize(classes.groupBy("group").agg(
         F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "uid")).alias("head"),
         F.count("*").alias("class_size")))
     return classes.join(heads, "group").select(
         "doc_id", F.col("head.doc_id").alias("class_id"), "class_size",
-        (F.col("uid") == F.col("head.uid")).alias("kept"))
+        (F.col("uid") == F.col("head.uid")).alias("kept"), "sha")
 
 
 def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -376,8 +385,13 @@ def candidate_pairs(held: DataFrame, found: DataFrame | None, turn: int) -> Data
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept row of each class with all its columns."""
-    kept = (near_classes(docs, id_col, text_col).where("kept")
-            .select(F.col("doc_id").alias("__kept_id")).distinct())
-    return (docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"])).drop("__kept_id")
-            .dropDuplicates([id_col]))
+    """The kept row of each class with all its columns. Rows are told apart by id and text, so
+    different texts under one id or a null id are judged each on their own; of rows with the same
+    id and text, which are in one class, one stays."""
+    mark = "__content_digest"
+    kept = (_classes(docs, id_col, text_col).where("kept")
+            .select(F.col("doc_id").alias("__kept_id"), F.hex("sha").alias("__kept_sha")))
+    marked = docs.withColumn(mark, F.upper(F.sha2(text_bytes(text_col), 256)))
+    return (marked.join(kept, marked[id_col].eqNullSafe(kept["__kept_id"])
+                        & (marked[mark] == kept["__kept_sha"]))
+            .dropDuplicates([id_col, mark]).select(*docs.columns))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_SPACE, SPACE, let, materialize, text_of
+from .common import NON_SPACE, SPACE, let, materialize, text_bytes, text_of
 
 #: Base rules.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -189,10 +189,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     LEAST_ROWS passing rows uses the estimate of its language, then of the corpus; where even
     that is too small nothing but the base rules rejects. Repeated rows count as often as they
     occur. An empty table gives an empty result; other columns are not looked at."""
+    return _judged(docs, id_col, text_col, lang_col, source_col).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "distance", "kept")
+
+
+def _group_of(col: str) -> Column:
+    """A language or source as a value, null included."""
+    return F.coalesce(F.col(col).cast("string"), F.lit("\0"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str,
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of quality with lang, source and the columns `keep`."""
     marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                         F.coalesce(F.col(lang_col).cast("string"), F.lit("\0")).alias("lang"),
-                         F.coalesce(F.col(source_col).cast("string"), F.lit("\0")).alias("source"))
-    counted = materialize(statistics(counts(marked, keep=("lang", "source")))
+                         _group_of(lang_col).alias("lang"), _group_of(source_col).alias("source"), *keep)
+    counted = materialize(statistics(counts(marked, keep=("lang", "source", *keep)))
                           .withColumn("base_failed", base_failed()))
     keys = {2: F.to_json(F.struct("lang", "source")), 1: F.to_json(F.struct("lang")), 0: F.lit("")}
     passed = counted.where("not base_failed")
@@ -212,14 +224,22 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     used = materialize(chosen.select("lang", "source", group.alias("g")).join(fit, "g"))
     held = with_distance(counted.join(used, ["lang", "source"], "left"))
     return held.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", F.when(F.col("g").isNotNull(), F.col("d2")).alias("distance")).withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The kept rows of `documents` with all their columns."""
-    verdict = quality(docs).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max("kept").alias("__kept")).where("__kept")
-    return docs.join(verdict.select("__id"), docs["doc_id"].eqNullSafe(F.col("__id")),
-                     "left_semi")
+    """The kept rows of `documents` with all their columns. A verdict holds for the rows with the
+    same id, text, language and source, and for no others under that id or a null id."""
+    sha, lang, source = "__content_digest", "__lang", "__source"
+    marked = docs.withColumns({sha: F.sha2(text_bytes(), 256), lang: _group_of("lang"),
+                               source: _group_of("source")})
+    kept = (_judged(marked, "doc_id", "text", "lang", "source", keep=(sha,)).where("kept")
+            .select(F.col("doc_id").alias("__id"), F.col(sha).alias("__sha"),
+                    F.col("lang").alias("__kept_lang"), F.col("source").alias("__kept_source"))
+            .distinct())
+    return marked.join(
+        kept, marked["doc_id"].eqNullSafe(kept["__id"]) & (marked[sha] == kept["__sha"])
+        & (marked[lang] == kept["__kept_lang"]) & (marked[source] == kept["__kept_source"]),
+        "left_semi").select(*docs.columns)

@@ -332,6 +332,26 @@ def test_pipeline_keeps_clean_documents_once(spark, sf01):
         assert stage(spark, docs.limit(0), sf01).collect() == []
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_stages_tell_rows_of_one_id_apart(spark, shared):
+    """Different texts under a null or a repeated id are judged each on their own."""
+    rng = random.Random(5)
+    clean = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(20)]
+    bad = ["too short", "again and again " * 40]
+    rows = [(shared, t, "en", "a") for t in clean + clean[:3] + bad] + [
+        (3, clean[0], "en", "a"), (4, clean[1] + " end", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    kept = quality.drop_low_quality(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.text for r in kept.collect()) == Counter(t for _, t, *_ in rows) - Counter(bad)
+    near = bag_minhash.drop_near(docs)
+    assert near.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in near.collect())
+    # of a class the row with the smallest id stays, a null id after all others
+    want = {(shared, t) for t in clean[2:] + bad} | {(3, clean[0]), (4, clean[1] + " end")}
+    assert got == Counter(want)
+
+
 def test_every_query_is_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == list(range(1, 11))
 
