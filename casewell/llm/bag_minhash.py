@@ -10,9 +10,10 @@ registers are filled are drawn, so a text costs one draw per shingle and some hu
 Bands of the signature give candidates. In each bucket members are compared with a centre, the
 text that meets most others, and every candidate is verified on complete multisets. Components
 of verified links are found by repeated minimum labels; buckets that still hold several
-components are compared again through other centres for as long as that finds links. The texts
-of buckets that then still hold many components meet once more by their rarest shingles: two
-similar texts share one of them, while texts that differ from all others own them alone."""
+components are compared again through other centres for as long as that finds links, and small
+ones text by text. All texts of larger buckets that then still span components meet once more by
+their rarest shingles: two similar texts share one of them, while texts that differ from all
+others own them alone. There each text is compared with all texts of other components."""
 
 from __future__ import annotations
 
@@ -32,8 +33,10 @@ from .common import materialize, text_bytes
 #: Words in a shingle, least similarity of near duplicates, bands and registers per band.
 #: A pair at 0.8 misses all of 24 bands of 4 with probability 3e-6.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Components of a bucket that are compared with each other.
+#: Texts, and in larger buckets components, of a bucket that are compared with each other.
 PAIRED_PARTS = 32
+#: Texts of a bucket in a block; one block is compared with one block.
+BLOCK_TEXTS = 1024
 
 SIGNED = ("uid bigint, doc_id bigint, digest binary, bands array<bigint>, content binary, "
           "sha binary")
@@ -192,7 +195,8 @@ def _elements(size: int):
 
 
 def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(key, uid): the rarest shingles of each text (uid, content) that another text holds too.
+    """(key, uid, rest, total): the rarest shingles of each text (uid, content) that another text
+    holds too, with the weight of the text from this shingle on and in all.
 
     Shingles are ordered by the number of texts that hold them. Of a text of weight W, those are
     taken after which less than similarity * W is left: two texts of that similarity share one
@@ -211,7 +215,9 @@ def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
     # the small number keeps rounding on the side of taking a shingle
     return materialize(
         before.where((F.col("total") - F.col("before") >= similarity * F.col("total") - 1e-6)
-                     & (F.col("e.n") > 1)).select(F.col("e.key").alias("key"), "uid"))
+                     & (F.col("e.n") > 1))
+        .select(F.col("e.key").alias("key"), "uid",
+                (F.col("total") - F.col("before")).alias("rest"), "total"))
 
 
 def _verify(least: float, size: int):
@@ -296,24 +302,22 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
                            .mapInArrow(_verify(similarity, words),
                                        "a bigint, b bigint, near boolean"))
 
-    done = found = None
-    for rare in (False, True):
-        if rare:
-            crowded = _crowded(held, found)
-            if crowded.isEmpty():
-                break
-            held = materialize(rarest(texts.join(crowded, "uid", "left_semi"), similarity, words)
-                               .join(met, "uid"))
-        turn = int(rare)  # rare buckets pair their members at once
-        while True:
-            rest = candidate_pairs(held, found, turn)
-            rest = materialize(rest if done is None else rest.join(done, ["a", "b"], "left_anti"))
-            checked = verified(rest)
-            done = checked if done is None else done.unionByName(checked)
-            linked = checked.where("near")
-            if turn and linked.isEmpty():
-                break
-            found, turn = _joined(found, linked), turn + 1
+    done, found, turn = None, None, 0
+    while True:
+        pairs = candidate_pairs(held, found, turn)
+        pairs = materialize(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        checked = verified(pairs)
+        done = checked if done is None else done.unionByName(checked)
+        linked = checked.where("near")
+        if turn and linked.isEmpty():
+            break
+        found, turn = _joined(found, linked), turn + 1
+    mixed = _mixed(held, found)
+    if not mixed.isEmpty():
+        rare = rarest(texts.join(mixed, "uid", "left_semi"), similarity, words)
+        pairs = materialize(rare_pairs(rare, found, similarity)
+                            .join(done, ["a", "b"], "left_anti"))
+        found = _joined(found, verified(pairs).where("near"))
     classes = (signed.select("uid", "doc_id", "sha", "digest").join(same, "digest")
                .join(found.select(F.col("id").alias("rep"), "label"), "rep", "left")
                .select("uid", "doc_id", "sha", F.coalesce("label", "rep").alias("group")))
@@ -342,44 +346,96 @@ def _joined(found: DataFrame | None, links: DataFrame) -> DataFrame:
         .unionByName(moved.join(known.select("id"), "id", "left_anti").select("id", "label")))
 
 
-def _crowded(held: DataFrame, found: DataFrame) -> DataFrame:
-    """uid of the texts in buckets that hold more than PAIRED_PARTS components."""
-    marked = materialize(held.select("key", "uid").join(
-        found.select(F.col("id").alias("uid"), "label"), "uid", "left")
-        .select("key", "uid", F.coalesce("label", "uid").alias("part")))
-    parts = (marked.groupBy("key", "part").agg(F.lit(1).alias("one")).groupBy("key")
-             .agg(F.count("*").alias("n")).where(F.col("n") > PAIRED_PARTS))
-    return materialize(marked.join(materialize(parts), "key", "left_semi")
+def _marked(held: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets with the component `part` of each text."""
+    return held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left").withColumn(
+        "part", F.coalesce("label", "uid")).drop("label")
+
+
+def _parts(marked: DataFrame) -> DataFrame:
+    """(key, n, parts, big, big_n): texts and components of each bucket, and its largest one."""
+    return (marked.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key")
+            .agg(F.sum("n").alias("n"), F.count("*").alias("parts"),
+                 F.max(F.struct("n", "part")).alias("m"))
+            .select("key", "n", "parts", F.col("m.part").alias("big"),
+                    F.col("m.n").alias("big_n")))
+
+
+def _mixed(held: DataFrame, found: DataFrame) -> DataFrame:
+    """uid of the texts in buckets of more than PAIRED_PARTS texts in several components."""
+    marked = materialize(_marked(held.select("key", "uid"), found))
+    several = _parts(marked).where((F.col("n") > PAIRED_PARTS) & (F.col("parts") > 1))
+    return materialize(marked.join(materialize(several), "key", "left_semi")
                        .select("uid").distinct())
 
 
+def rare_pairs(rare: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b), a > b, of all texts of different components that share a rare shingle and
+    can be similar by what is left of both from there on.
+
+    In each bucket the texts outside its largest component are held against all others, in
+    blocks of both sides, so that a task has a bounded piece of any bucket. The first shingle
+    two texts share leaves at least their overlap on both sides, and texts of similarity s
+    overlap by s / (1 + s) of the sum of their weights."""
+    marked = materialize(_marked(rare, found))
+    several = materialize(_parts(marked).where("parts > 1"))
+    sized = materialize(marked.join(several, "key").withColumns({
+        "blocks": F.ceil(F.col("n") / BLOCK_TEXTS),
+        "few_blocks": F.ceil((F.col("n") - F.col("big_n")) / BLOCK_TEXTS)}))
+
+    def block(blocks: str, salt: int):
+        return F.pmod(F.xxhash64("uid", F.lit(salt)), F.col(blocks))
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+
+    few = (sized.where("part <> big").withColumn("i", block("few_blocks", 1))
+           .select("key", "i", every("blocks").alias("j"), F.col("uid").alias("x"),
+                   F.col("part").alias("x_part"), F.col("rest").alias("x_rest"),
+                   F.col("total").alias("x_total")))
+    each = (sized.withColumn("j", block("blocks", 2))
+            .select("key", every("few_blocks").alias("i"), "j", F.col("uid").alias("y"),
+                    F.col("part").alias("y_part"), F.col("rest").alias("y_rest"),
+                    F.col("total").alias("y_total"), (F.col("part") == F.col("big")).alias("y_big")))
+    least = similarity / (1 + similarity) * (F.col("x_total") + F.col("y_total")) - 1e-6
+    return (few.join(each, ["key", "i", "j"])
+            .where((F.col("x_part") != F.col("y_part")) & (F.col("y_big") | (F.col("x") > F.col("y")))
+                   & (F.least("x_rest", "y_rest") >= least))
+            .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+
+
 def candidate_pairs(held: DataFrame, found: DataFrame | None, turn: int) -> DataFrame:
     """Comparisons that buckets with several components still need, as distinct (a, b), a > b.
 
     Each component of a bucket is compared with one of them, the centre: at first the text that
-    meets most others, in later turns another one for each turn. From the second turn on, up to
-    PAIRED_PARTS components of a bucket are also compared with each other, a bounded number a
-    row. Turns go on while they find links, so a dense bucket of any size takes work in
+    meets most others, in later turns another one for each turn. From the second turn on, all
+    texts of different components are also compared in buckets of up to PAIRED_PARTS texts, and
+    in larger ones one text each of up to PAIRED_PARTS components, a bounded number a row. Turns go on while they find links, so a dense bucket of any size takes work in
     proportion to its members and turns, and never lists its pairs."""
     if found is None:
-        parts = held.select("key", F.col("uid").alias("part"), F.struct("met", "uid").alias("m"))
+        parts = held.select("key", F.col("uid").alias("part"), F.struct("met", "uid").alias("m"),
+                            F.lit(1).alias("texts"))
     else:
         parts = materialize(
-            held.join(found.select(F.col("id").alias("uid"), "label"), "uid", "left")
-            .groupBy("key", F.coalesce("label", "uid").alias("part"))
-            .agg(F.max(F.struct("met", "uid")).alias("m")))
+            _marked(held, found).groupBy("key", "part")
+            .agg(F.max(F.struct("met", "uid")).alias("m"), F.count("*").alias("texts")))
     order = F.col("m.met") if turn < 2 else F.xxhash64("m.uid", F.lit(turn))
     centres = materialize(parts.groupBy("key").agg(
-        F.count("*").alias("n"),
+        F.count("*").alias("n"), F.sum("texts").alias("texts"),
         F.max(F.struct(order.alias("o"), F.col("m.uid").alias("uid"))).alias("c"))
-        .where("n > 1").select("key", "n", F.col("c.uid").alias("centre")))
-    sized = parts.join(centres, "key")
+        .where("n > 1").select("key", "n", "texts", F.col("c.uid").alias("centre")))
+    sized = parts.drop("texts").join(centres, "key")
     pairs = sized.select(F.col("m.uid").alias("a"), F.col("centre").alias("b"))
     if turn:
-        few = (sized.where(F.col("n") <= PAIRED_PARTS).groupBy("key")
-               .agg(F.collect_set("m.uid").alias("u")))
+        few = (sized.where((F.col("n") <= PAIRED_PARTS) & (F.col("texts") > PAIRED_PARTS))
+               .select("key", F.col("m.uid").alias("uid"), "part"))
+        small = centres.where(F.col("texts") <= PAIRED_PARTS).select("key")
+        few = few.unionByName(_marked(held.join(small, "key", "left_semi"), found)
+                              .select("key", "uid", "part"))
+        lists = few.groupBy("key").agg(F.collect_list(F.struct("uid", "part")).alias("u"))
         pairs = pairs.unionByName(
-            few.select(F.explode("u").alias("a"), "u").select("a", F.explode("u").alias("b")))
+            lists.select(F.explode("u").alias("x"), "u").select("x", F.explode("u").alias("y"))
+            .where("x.part <> y.part").select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")))
     return (pairs.where("a <> b")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 

@@ -131,6 +131,43 @@ def test_near_classes_equal_brute_force(spark, sf001):
     assert found == {i: root(i) for i in found}
 
 
+def copies_of_copies(n, words=200, seed=4):
+    """(texts, links): an original, n copies of it at 0.82 and a copy of each of these at 0.82,
+    which is unlike the original. A link is (copy, what it was copied from)."""
+    rng = random.Random(seed)
+
+    def copied(text, k, places):
+        out = list(text)
+        for at in places:
+            out[at] = f"own{k}_{at}"
+        return out
+
+    texts, links = [[f"w{i}" for i in range(words)]], []
+    spots = range(2, words, 5)
+    for k in range(1, n + 1):
+        first = rng.sample(spots, words // 50)
+        second = rng.sample(sorted(set(spots) - set(first)), words // 50)
+        texts.append(copied(texts[0], 2 * k - 1, first))
+        texts.append(copied(texts[-1], 2 * k, second))
+        links += [(2 * k - 1, 0), (2 * k, 2 * k - 1)]
+    return [" ".join(t) for t in texts], links
+
+
+@pytest.mark.parametrize("n", [8, 60])
+def test_copies_of_copies_are_one_class(spark, n):
+    """Few bands of one register: all texts meet in hot buckets, whose centre is the original."""
+    texts, links = copies_of_copies(n)
+    memo = bag_minhash.WordHashes()
+    with np.errstate(over="ignore"):
+        bags = [bag_minhash.shingles(bag_minhash.word_hashes(t.encode(), memo)) for t in texts]
+    assert all(bag_minhash.overlap(bags[a], bags[b]) >= 0.8 for a, b in links)
+    assert all(bag_minhash.overlap(bags[0], bags[2 * k]) < 0.8 for k in range(1, n + 1))
+    found = bag_minhash.near_classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"),
+        bands=8, rows=1).collect()
+    assert {r.class_id for r in found} == {0} and len(found) == len(texts)
+
+
 def test_language_of_held_out_rows(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     rows = language.predict_language(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
