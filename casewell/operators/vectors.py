@@ -151,7 +151,9 @@ def knn_lsh(
     similarity; pairs may be missing. Large buckets are cut into pieces like any group.
 
     `tables` and `bits` are fixed whatever the size of the base, so that recall does not change
-    as it grows: a pair at angle a is met with probability 1 - (1 - (1 - a / pi)^bits)^tables."""
+    as it grows: a pair at angle a is met with probability 1 - (1 - (1 - a / pi)^bits)^tables. They
+    have to fit the similarity that is looked for: the defaults meet 0.93 of the pairs at 0.9,
+    0.75 of those at 0.8 and 0.18 at 0.4, where 24 tables of 4 bits meet 0.98."""
     if tables << bits > MAX_HASH_GROUPS:
         raise ValueError(f"tables * 2^bits is more than {MAX_HASH_GROUPS} groups")
     same = queries is base

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casewell.operators import similarity as sim
 from casewell.operators import vectors as vec
+from casewell.plans import q_similarity
 
 SCHEMA = "id long, embedding array<float>"
 
@@ -80,6 +81,18 @@ def test_hashed_search_finds_true_pairs_only(spark, skewed):
     assert len(best & found) / len(best) > 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_hashed_query_finds_nine_of_ten_neighbours(spark, sf):
+    d = f"/root/testdata/sf{sf}"
+    vectors = q_similarity._vectors(spark, d)
+    best = {(r.query_id, r.neighbour_id)
+            for r in vec.knn(vectors, vectors, 5, q_similarity.LOW).collect()}
+    found = {(r.query_id, r.neighbour_id) for r in q_similarity.knn_hashed(spark, d).collect()}
+    some = {p for p in best if p[0] % 50 == 0}
+    print("recall", sf, len(best & found), len(best), len(some & found), len(some))
+    assert len(best & found) >= 0.9 * len(best) and len(some & found) >= 0.9 * len(some) > 0
+
+
 def test_fewer_rows_than_k(spark):
     df = frame(spark, [[1, 0], [0, 1], [1, 1]])
     for form in FORMS.values():
