@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F  # noqa: F401
 
 from . import (
-    bag_minhash, exact_dedup, html_text, language, packing, pii, quality, sentencepiece_viterbi,
-    sharding, warc,
+    bag_minhash, byte_bpe, exact_dedup, html_text, language, packing,
+    periodic_runs, pii, quality, sentencepiece_viterbi, sharding, warc, whitening,
 )
-from .common import scratch_path, table
+from .common import NON_SPACE, let, scratch_path, table, text_of
 from .registry import query
 
 
@@ -114,3 +114,58 @@ def op10_warc(spark, sf_dir):
     folder = scratch_path(spark, "warc")
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), folder, roll_bytes=4 << 20)
     return warc.read_warc(manifest, folder).drop("file")
+
+
+@query()
+def op11_byte_bpe(spark, sf_dir):
+    """Token ids of each document by the rank queue, and the bytes they stand for."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path,
+                                        public_tokenizers.PATTERN)
+    return byte_bpe.decode_ids(encoded, path).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op12_whitening(spark, sf_dir):
+    """Whitened components of each vector."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return whitening.whitened_rows(found).withColumn(
+        "deviation", F.col("deviation").try_cast("bigint"))
+
+
+def _with_planted_runs(docs):
+    """Documents whose crc32 of the id ends with 0 repeat a part of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(let(F.struct(a.cast("int").alias("a"), p.cast("int").alias("p")),
+                                lambda s: F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: words[F.when(i < s.a, i).otherwise(s.a + (i - s.a) % s.p)])), " ")
+
+    words = F.regexp_extract_all(text_of(), F.lit(NON_SPACE + "+"), F.lit(0))
+    repeated = let(words, lambda w: F.when(F.size(w) > 0, planted(w)).otherwise(""))
+    return docs.select("doc_id", F.when(h % 10 == 0, repeated).otherwise(text_of()).alias("text"))
+
+
+@query()
+def op13_periodic_runs(spark, sf_dir):
+    """Periodic runs of words of each document, some of them with planted ones."""
+    found = periodic_runs.periodic_runs(_with_planted_runs(table(spark, sf_dir, "documents")))
+    best = F.expr("aggregate(runs, cast(null as struct<start:bigint,length:bigint,period:bigint>),"
+                  " (b, r) -> if(b is null or r.length * b.period > b.length * r.period, r, b))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, "
+                   "'\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
