@@ -57,6 +57,6 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     from . import (  # noqa: F401
-        q_events, q_functions, q_policy, q_register, q_similarity, q_sla, q_stats, q_streaming,
-        q_text,
+        q_events, q_functions, q_policy, q_register, q_rules, q_similarity, q_sla, q_stats,
+        q_streaming, q_text,
     )

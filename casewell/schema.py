@@ -184,3 +184,18 @@ DEFAULT_DRAFT = {
     "customer_tone_tip": "Be empathetic and professional.",
 }
 # end of fixed values
+
+# Rules of the policy texts.
+#: Hours of breach beyond which a rung is reached, its level, and who is told (a suffix of the
+#: department's name on the first rung). The last rung also alerts the regulator.
+LADDER = [
+    (0, "L1", " - Level 1 Manager"),
+    (48, "L2", "Zonal Head"),
+    (120, "L3", "Principal Nodal Officer"),
+]
+ACKNOWLEDGE_DAYS, FINAL_DAYS = 3, 30
+#: Responsible stages with the day of age up to which each one lasts.
+STAGES = [("Branch", 7), ("Zonal Office", 14), ("Principal Nodal Officer", 29), ("Overdue", None)]
+#: Days within which the customer must have the money back, and the penalty for each day after.
+PENALTY_DAYS = {"ATM / Debit Card": 5, "Fund Transfer / NEFT / RTGS": 1}
+PENALTY_PER_DAY = 100

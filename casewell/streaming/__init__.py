@@ -1,8 +1,10 @@
 from .agents import resolution_tick, run_resolution_agent, run_triage, triage_batch
+from .ladder import RUNG_SCHEMA, ladder_firings
 from .live import (
-    channel_counts_live, first_escalations, latest_live, rejected_live, status_counts_live,
+    bursts_live, channel_counts_live, first_escalations, latest_live, rejected_live, status_counts_live,
     valid_live,
 )
+from .sequence import numbered_live
 from .stores import append_batches, file_stream, read_store, run_available
 from .timers import DEADLINE_SCHEMA, deadline_firings
 

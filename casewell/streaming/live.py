@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.events import latest_per_id, rejected_events, valid_events
 from ..operators.filters import originals
+from ..operators.sessions import session_bursts
 
 
 def channel_counts_live(complaints: DataFrame, delay: str = "1 hour", size: str = "1 day"
@@ -23,6 +24,13 @@ def channel_counts_live(complaints: DataFrame, delay: str = "1 hour", size: str
     )
 
 
+def bursts_live(events: DataFrame, key: str, ts: str, gap: str = "30 minutes",
+                delay: str = "1 hour") -> DataFrame:
+    """Bursts of a key's events as they close: append mode emits a burst once the watermark has
+    passed its last event by the gap. Sessions are merged before the shuffle and in state."""
+    return session_bursts(events.withWatermark(ts, delay), key, ts, gap)
+
+
 def status_counts_live(complaints: DataFrame) -> DataFrame:
     """Figures of a polled dashboard: counts by status and severity (complete or update)."""
     return originals(complaints).groupBy("status", "severity").agg(
