@@ -29,10 +29,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
+#: The zeros that lead are taken first, so that a part may have no digit left.
+OCTETS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.|$)){4}$"
 #: Generators of further candidates, with the kind they propose.
 GENERATORS = {
-    "assigned": ("secret", r"(?<![A-Za-z_])[A-Za-z_]{3,24}+\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{8,}+"),
+    "assigned": ("secret", r"(?<![A-Za-z0-9_-])[A-Za-z_][A-Za-z0-9_-]{2,}+\x20?[=:]\x20?[\"']?[A-Za-z0-9+/_.-]{8,}+"),
     "token": ("secret", r"(?:\G|(?<![A-Za-z0-9+/_]))[A-Za-z0-9+/_]{16,}+"),
     "digits": ("number", r"(?:\G|(?<![0-9+]))[0-9](?:[\x20.()-]{0,2}+[0-9]){8,}+"),
 }
@@ -94,7 +95,7 @@ def features(generator: Column, before: Column, body: Column) -> Column:
         generator.cast("double").alias("generator"), n.cast("double").alias("length"),
         (digits / n).alias("digit_share"),
         (F.length(F.regexp_replace(body, "[^A-Z]", "")) / n).alias("upper_share"),
-        F.when(body.rlike("^(?:[A-Za-z_]+ ?[=:] ?[\"']?)?[0-9a-fA-F]{8,}$"), 1.0).otherwise(0.0)
+        F.when(body.rlike("^(?:[A-Za-z_][A-Za-z0-9_-]+ ?[=:] ?[\"']?)?[0-9a-fA-F]{8,}$"), 1.0).otherwise(0.0)
         .alias("hexadecimal"),
         (F.length(F.regexp_replace(body, r"[^\x20.()_/-]", "")) / n).alias("separators"),
         (F.size(F.regexp_extract_all(body, F.lit("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"), F.lit(0)))
