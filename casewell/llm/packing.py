@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,11 @@ class Chunks(dict):
     A chunk is a word with the one space before it, or a line break between two words; the
     tokenizer never joins characters over such a border, so chunks are encoded on their own."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int]):
         super().__init__()
+        self.added = added
+        longest = sorted(added, key=len, reverse=True)
+        self.parts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks,
@@ -62,7 +67,14 @@ class Chunks(dict):
         return found
 
     def document(self, text: str) -> bytes:
-        """Ids of a whole text."""
+        """Ids of a whole text; an added token is one id, whatever is around it."""
+        if self.parts is None or not self.parts.search(text):
+            return self.plain(text)
+        return b"".join(np.array([self.added[t]], "<u4").tobytes() if k % 2 else self.plain(t)
+                        for k, t in enumerate(self.parts.split(text)) if t)
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         parts: list[str] = []
         for k, line in enumerate(text.split("\n")):
             words = line.split(" ")
@@ -120,9 +132,16 @@ def pack(lengths: list[int], context: int = CONTEXT) -> list[list[tuple[int, int
     return done
 
 
-def _packer(ranks_path: str, pattern: str, end_id: int, context: int, step: int):
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Tokens that a tokenizer file adds to its vocabulary; they are looked for in a text first."""
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
+def _packer(ranks_path: str, pattern: str, added: Mapping[str, int], end_id: int, context: int,
+            step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(ranks_path, pattern)
+        chunks = Chunks(ranks_path, pattern, added)
         number = TaskContext.get().partitionId() << 36
         end = np.array([end_id], "<u4").tobytes()
         docs: list = []
@@ -168,15 +187,17 @@ def _packer(ranks_path: str, pattern: str, end_id: int, context: int, step: int)
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 0,
                    id_col: str = "doc_id", text_col: str = "text", context: int = CONTEXT,
-                   step_tokens: int = STEP_TOKENS) -> DataFrame:
+                   step_tokens: int = STEP_TOKENS, added: Mapping[str, int] | None = None
+                   ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     tier (tokens of its sequence, its context size) and step_group.
 
     A null or empty text is the end id alone. Rows repeated with the same id are documents of
     their own. Sequences are full or as long as a power of two. `ranks_path` names a ranks file
-    that every executor has. An empty table gives an empty result; other columns are not
+    that every executor has; `added` are further tokens and their ids, which a text may contain. An empty table gives an empty result; other columns are not
     looked at."""
     if context & (context - 1):
         raise ValueError("context must be a power of two")
     return (docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-            .mapInArrow(_packer(ranks_path, pattern, end_id, context, step_tokens), PIECES))
+            .mapInArrow(_packer(ranks_path, pattern, added or {}, end_id, context,
+                                step_tokens), PIECES))

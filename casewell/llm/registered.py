@@ -35,7 +35,8 @@ def op9_packing(spark, sf_dir):
 
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
-        public_tokenizers.PATTERN)
+        public_tokenizers.PATTERN,
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query()
