@@ -33,8 +33,9 @@ def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of several context sizes."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"),
-                                  public_tokenizers.PATTERN)
+    return packing.pack_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("quality", keep_quality), ("exact", exact), ("near", near), ("personal", personal),
