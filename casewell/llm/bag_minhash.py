@@ -35,6 +35,10 @@ from .common import materialize, text_bytes
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 #: Texts, and in larger buckets components, of a bucket that are compared with each other.
 PAIRED_PARTS = 32
+#: Links that are joined in one task (some 100 MB there).
+SMALL_LINKS = 500_000
+#: Cells of the sketch of how many texts hold a shingle (8 MB on the driver and in each task).
+SKETCH_CELLS = 1 << 20
 #: Texts of a bucket in a block; one block is compared with one block.
 BLOCK_TEXTS = 1024
 
@@ -180,44 +184,66 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return low / high if high else 1.0
 
 
-def _elements(size: int):
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys ^ _ODD[4]) % _U(SKETCH_CELLS)).astype(np.int64)
+
+
+def _counted(size: int):
+    """How many of a task's texts hold a shingle of each cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = WordHashes(), zstandard.ZstdDecompressor()
+        often = np.zeros(SKETCH_CELLS, np.int64)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for packed in batch.column(0).to_pylist():
+                    e, _ = shingles(word_hashes(unpack.decompress(packed), memo), size)
+                    np.add.at(often, _cells(e), 1)
+        cells = np.flatnonzero(often)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(often[cells])],
+                                         names=["cell", "n"])
+    return run
+
+
+def _rarest(often, similarity: float, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, unpack, sketch = WordHashes(), zstandard.ZstdDecompressor(), often.value
         with np.errstate(over="ignore"):
             for batch in batches:
                 for uid, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                        strict=True):
                     e, w = shingles(word_hashes(unpack.decompress(packed), memo), size)
+                    n = sketch[_cells(e)]
+                    order = np.lexsort((e, n))
+                    e, w, n = e[order], w[order], n[order]
+                    total = int(w.sum()) if len(w) else 0
+                    rest = total - (np.cumsum(w) - w)
+                    # the small number keeps rounding on the side of taking a shingle
+                    take = (rest >= similarity * total - 1e-6) & (n > 1)
+                    k = int(take.sum())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(e), uid, np.int64)), pa.array(e.view(np.int64)),
-                         pa.array(w)], names=["uid", "key", "w"])
+                        [pa.array(e[take].view(np.int64)), pa.array(np.full(k, uid, np.int64)),
+                         pa.array(rest[take].astype(np.int64)),
+                         pa.array(np.full(k, total, np.int64))],
+                        names=["key", "uid", "rest", "total"])
     return run
 
 
 def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """(key, uid, rest, total): the rarest shingles of each text (uid, content) that another text
-    holds too, with the weight of the text from this shingle on and in all.
-
-    Shingles are ordered by the number of texts that hold them. Of a text of weight W, those are
-    taken after which less than similarity * W is left: two texts of that similarity share one
-    among the taken ones of both."""
-    held = materialize(texts.select("uid", "content")
-                       .mapInArrow(_elements(size), "uid bigint, key bigint, w bigint"))
-    often = materialize(held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    known = held.join(often, "key", "left").select(
-        "uid", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "w").alias("e"))
-    # a list is one text's own shingles
-    lists = known.groupBy("uid").agg(F.sort_array(F.collect_list("e")).alias("es"),
-                                     F.sum("e.w").alias("total"))
-    order = Window.partitionBy("uid").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = lists.select("uid", "total", F.posexplode("es").alias("at", "e"))
-    before = rows.withColumn("before", F.coalesce(F.sum("e.w").over(order), F.lit(0)))
-    # the small number keeps rounding on the side of taking a shingle
-    return materialize(
-        before.where((F.col("total") - F.col("before") >= similarity * F.col("total") - 1e-6)
-                     & (F.col("e.n") > 1))
-        .select(F.col("e.key").alias("key"), "uid",
-                (F.col("total") - F.col("before")).alias("rest"), "total"))
+    """(key, uid, rest, total): the rarest shingles of each text (uid, content), with the weight
+    of the text from this shingle on and in all.
+
+    Shingles are ordered by how many texts hold a shingle of their cell of a sketch of fixed
+    size, and by their hash: one order for all texts. Of a text of weight W, those are taken
+    after which less than similarity * W is left: two texts of that similarity share one among
+    the taken ones of both, in whatever order. A shingle alone in its cell is shared with
+    nobody. The sketch only decides how few others share the ones taken."""
+    cells = (texts.select("content").mapInArrow(_counted(size), "cell bigint, n bigint")
+             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())  # SKETCH_CELLS rows at most
+    often = np.zeros(SKETCH_CELLS, np.int64)
+    often[cells.cell.to_numpy()] = cells.n.to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(often)
+    return materialize(texts.select("uid", "content").mapInArrow(
+        _rarest(shared, similarity, size), "key bigint, uid bigint, rest bigint, total bigint"))
 
 
 def _verify(least: float, size: int):
@@ -242,8 +268,34 @@ def _verify(least: float, size: int):
     return run
 
 
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label) of all links (a, b) of one task."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = parent[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(list(map(root, ids)), pa.int64())],
+        names=["id", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id connected with each id of (a, b) links."""
+    """(id, label): the smallest id connected with each id of (a, b) links.
+
+    Up to SMALL_LINKS links are joined in one task, which they fit by their number; more of them
+    by repeated steps, in which each id takes the smallest label around it."""
+    links = materialize(links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
+    if links.count() <= SMALL_LINKS:
+        return materialize(links.coalesce(1).mapInArrow(_union, "id bigint, label bigint"))
     edges = materialize(links.select(F.explode(F.array(
         F.struct(F.col("a").alias("id"), F.col("b").alias("to")),
         F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("e")).select("e.*"))
@@ -314,7 +366,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float = SI
         found, turn = _joined(found, linked), turn + 1
     mixed = _mixed(held, found)
     if not mixed.isEmpty():
-        rare = rarest(texts.join(mixed, "uid", "left_semi"), similarity, words)
+        rare = rarest(materialize(texts.join(mixed, "uid", "left_semi")), similarity, words)
         pairs = materialize(rare_pairs(rare, found, similarity)
                             .join(done, ["a", "b"], "left_anti"))
         found = _joined(found, verified(pairs).where("near"))
