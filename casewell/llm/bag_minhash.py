@@ -237,7 +237,10 @@ def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
     after which less than similarity * W is left: two texts of that similarity share one among
     the taken ones of both, in whatever order. A shingle alone in its cell is shared with
     nobody. The sketch only decides how few others share the ones taken."""
-    cells = (texts.select("content").mapInArrow(_counted(size), "cell bigint, n bigint")
+    # one task a core: it adds up as much as it can before the shuffle
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    cells = (texts.select("content").coalesce(cores)
+             .mapInArrow(_counted(size), "cell bigint, n bigint")
              .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())  # SKETCH_CELLS rows at most
     often = np.zeros(SKETCH_CELLS, np.int64)
     often[cells.cell.to_numpy()] = cells.n.to_numpy()
