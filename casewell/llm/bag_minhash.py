@@ -37,8 +37,9 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
 PAIRED_PARTS = 32
 #: Links that are joined in one task (some 100 MB there).
 SMALL_LINKS = 500_000
-#: Cells of the sketch of how many texts hold a shingle (8 MB on the driver and in each task).
-SKETCH_CELLS = 1 << 20
+#: Cells of the sketch of how many texts hold a shingle (8 MB on the driver and in each task), and
+#: cells of one row of it.
+SKETCH_CELLS, SKETCH_BLOCK = 1 << 20, 1 << 12
 #: Texts of a bucket in a block; one block is compared with one block.
 BLOCK_TEXTS = 1024
 
@@ -189,7 +190,7 @@ def _cells(keys: np.ndarray) -> np.ndarray:
 
 
 def _counted(size: int):
-    """How many of a task's texts hold a shingle of each cell."""
+    """How many of a task's texts hold a shingle of each cell, by blocks of cells."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = WordHashes(), zstandard.ZstdDecompressor()
         often = np.zeros(SKETCH_CELLS, np.int64)
@@ -198,12 +199,23 @@ def _counted(size: int):
                 for packed in batch.column(0).to_pylist():
                     e, _ = shingles(word_hashes(unpack.decompress(packed), memo), size)
                     np.add.at(often, _cells(e), 1)
-        cells = np.flatnonzero(often)
-        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(often[cells])],
-                                         names=["cell", "n"])
+        yield _blocks(np.arange(0, SKETCH_CELLS, SKETCH_BLOCK), often)
     return run
 
 
+def _blocks(blocks: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    ends = np.arange(0, len(counts) + 1, SKETCH_BLOCK, dtype=np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(blocks, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(counts))],
+        names=["block", "counts"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The sum of a block's counts; a group has one row for each core."""
+    counts = sum(x.values.to_numpy() for x in group["counts"])
+    return pa.Table.from_batches([_blocks(group["block"].to_numpy()[:1], counts)])
+
+
 def _rarest(often, similarity: float, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack, sketch = WordHashes(), zstandard.ZstdDecompressor(), often.value
@@ -237,13 +249,14 @@ def rarest(texts: DataFrame, similarity: float, size: int) -> DataFrame:
     after which less than similarity * W is left: two texts of that similarity share one among
     the taken ones of both, in whatever order. A shingle alone in its cell is shared with
     nobody. The sketch only decides how few others share the ones taken."""
-    # one task a core: it adds up as much as it can before the shuffle
+    # one task a core: so a block of the sketch has one row for each core
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    cells = (texts.select("content").coalesce(cores)
-             .mapInArrow(_counted(size), "cell bigint, n bigint")
-             .groupBy("cell").agg(F.sum("n").alias("n")).toPandas())  # SKETCH_CELLS rows at most
+    kind = "block bigint, counts array<bigint>"
+    parts = (texts.select("content").coalesce(cores).mapInArrow(_counted(size), kind)
+             .groupBy("block").applyInArrow(_added, kind).toPandas())  # SKETCH_CELLS numbers
     often = np.zeros(SKETCH_CELLS, np.int64)
-    often[cells.cell.to_numpy()] = cells.n.to_numpy()
+    for block, counts in zip(parts.block, parts.counts, strict=True):
+        often[block:block + SKETCH_BLOCK] = counts
     shared = texts.sparkSession.sparkContext.broadcast(often)
     return materialize(texts.select("uid", "content").mapInArrow(
         _rarest(shared, similarity, size), "key bigint, uid bigint, rest bigint, total bigint"))
