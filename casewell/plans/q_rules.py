@@ -224,3 +224,17 @@ def stream_running_totals(spark, d):
     first = before.withColumn("total_messages", F.row_number().over(
         sim.Window.partitionBy("complaint_id").orderBy("seq")).cast("bigint") + 1)
     return spark.read.parquet(out).unionByName(first)
+
+
+@query(X.with_(X.ESCREQ) + "SELECT complaint_id, seq, escalation_level, escalated_to FROM escreq "
+       "QUALIFY row_number() OVER (PARTITION BY complaint_id ORDER BY seq DESC) = 1")
+def stream_latest_store(spark, d):
+    """Escalations in ten shuffled micro-batches, kept as last writes with a snapshot after every
+    four batches."""
+    requests = src.escalation_requests(spark, d).select(
+        "complaint_id", "seq", "escalation_level", "escalated_to")
+    feed, store = scratch_path(spark, "latest-in"), scratch_path(spark, "latest-store")
+    requests.repartition(10, F.xxhash64("seq")).write.parquet(feed)
+    stream = st.file_stream(spark, feed, requests.schema, 1)
+    st.run_available(st.upsert_batches(stream, store, every=4), store + "-ck")
+    return st.read_latest(spark, store, requests.schema)

@@ -5,6 +5,7 @@ from .live import (
     valid_live,
 )
 from .sequence import numbered_live
+from .snapshots import read_latest, upsert_batch, upsert_batches
 from .stores import append_batches, file_stream, read_store, run_available
 from .timers import DEADLINE_SCHEMA, deadline_firings
 

@@ -33,7 +33,7 @@ def read_store(spark: SparkSession, store: str, schema: StructType,
     if not path.getFileSystem(conf).exists(path):
         return spark.createDataFrame([], schema)
     log = spark.read.schema(
-        StructType(schema.fields).add("batch_id", "long")).parquet(store)
+        StructType([*schema.fields]).add("batch_id", "long")).parquet(store)
     if before is not None:
         log = log.where(log.batch_id < before)
     if only is not None:
