@@ -3,11 +3,14 @@ override, as_of), so a scan stays one codegen stage; only overrides add a join."
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.text import lookup
@@ -98,11 +101,47 @@ def at_risk(df: DataFrame, as_of: Clock, overrides: DataFrame | None = None) ->
     )
 
 
+#: Tasks that merge the lists of all others, and the last task merges theirs.
+MERGE_TASKS = 32
+
+
+def _least(n: int, total: str):
+    """Batches to their first n rows by id, with the number of rows on the first of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, count = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            count += pc.sum(table[total]).as_py() or 0
+            if kept is not None:
+                table = pa.concat_tables([kept, table])
+            kept = table.take(pc.select_k_unstable(
+                table, min(n, table.num_rows), [("complaint_id", "ascending")])).combine_chunks()
+        if kept is not None and kept.num_rows:
+            totals = pa.array([count] + [0] * (kept.num_rows - 1), pa.int64())
+            at = kept.schema.get_field_index(total)
+            yield from kept.set_column(at, pa.field(total, pa.int64()), totals).to_batches()
+    return run
+
+
 def capped(df: DataFrame, n: int, total: str = "total") -> DataFrame:
-    """First n rows by id beside the uncapped total. The total is a scalar subquery (a plain
-    partial count), the list a top-k; neither moves the other rows."""
-    count = df.agg(F.count(F.lit(1))).scalar()
-    return df.withColumn(total, count).orderBy("complaint_id").limit(n)
+    """First n rows by id beside the uncapped total, from one pass over `df`: each task keeps its
+    n least rows and counts the others, and these short lists are merged in two levels, so that
+    n rows a task are shuffled and never the table. Select the columns to show before.
+
+    Null ids come last. Rows of equal id are taken in any order. An empty table gives no row,
+    as does n = 0. A column named as the total is replaced."""
+    if n <= 0:
+        return df.withColumn(total, F.lit(0).cast("bigint")).limit(0)
+    lists = df.withColumn(total, F.lit(1).cast("bigint"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in lists.schema.fields])
+    step = _least(n, total)
+    for tasks in (MERGE_TASKS, 1):
+        lists = lists.mapInArrow(step, schema).repartition(tasks)
+    merged = lists.mapInArrow(step, schema)
+    whole = Window.partitionBy(F.lit(1)).rowsBetween(  # n rows at most
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    return merged.withColumn(total, F.sum(total).over(whole)).orderBy(
+        F.asc_nulls_last("complaint_id"))
 
 
 def sla_summary(df: DataFrame, as_of: Clock, overrides: DataFrame | None = None) -> DataFrame:

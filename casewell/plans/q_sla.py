@@ -54,8 +54,8 @@ def breached(spark, d):
        "ORDER BY complaint_id LIMIT 50")
 def breached_first_50(spark, d):
     """Capped list beside the uncapped total."""
-    rows = sla.capped(sla.breached(src.register(spark, d), AS_OF), 50)
-    return rows.select("complaint_id", "severity", "hours_remaining", "total")
+    rows = sla.breached(src.register(spark, d), AS_OF)
+    return sla.capped(rows.select("complaint_id", "severity", "hours_remaining"), 50)
 
 
 @query(SLA + f"SELECT complaint_id, category, hours_remaining, completion_pct FROM sla "
@@ -69,8 +69,7 @@ def at_risk(spark, d):
        "SELECT complaint_id, (SELECT count(*) FROM b) AS total FROM b "
        "ORDER BY complaint_id LIMIT 8")
 def at_risk_panel(spark, d):
-    return sla.capped(sla.at_risk(src.register(spark, d), AS_OF), 8).select(
-        "complaint_id", "total")
+    return sla.capped(sla.at_risk(src.register(spark, d), AS_OF).select("complaint_id"), 8)
 
 
 @query(SLA + f"""SELECT count(*) AS total_open,

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from casewell import sources as src
 from casewell.operators import events as ev
 from casewell.operators import filters, sla, stats
 
@@ -105,6 +106,26 @@ def test_capped_list_keeps_total(register):
     assert [(r.complaint_id, r.total) for r in rows] == [("d", 2)]
 
 
+def test_capped_list_and_total_in_one_scan(spark, sf001):
+    rows = sla.breached(src.register(spark, sf001), AS_OF).select("complaint_id", "severity")
+    got = sla.capped(rows, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    want = rows.orderBy("complaint_id").limit(5).collect()
+    assert [(r.complaint_id, r.severity) for r in got.collect()] == [tuple(r) for r in want]
+    assert {r.total for r in got.collect()} == {rows.count()}
+
+
+def test_capped_list_of_many_tasks_nulls_and_ties(spark):
+    ids = spark.range(0, 5000, 1, 100).select(F.format_string("%05d", "id").alias("complaint_id"))
+    odd = spark.createDataFrame([(None,), ("00001",), ("00001",)], "complaint_id string")
+    got = sla.capped(ids.unionAll(odd), 4, "n").collect()
+    assert [(r.complaint_id, r.n) for r in got] == [
+        ("00000", 5003), ("00001", 5003), ("00001", 5003), ("00001", 5003)]
+    assert [r.complaint_id for r in sla.capped(odd, 9).collect()] == ["00001", "00001", None]
+    assert sla.capped(odd.limit(0), 3).collect() == [] == sla.capped(odd, 0).collect()
+
+
 def test_running_numbers_with_a_hot_key(spark):
     """One key with most rows; slices of ten numbers instead of one window."""
     rows = [("hot", i) for i in range(0, 400, 3)] + [("cold", 5), ("cold", 395)]
