@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sources as src
+from ..operators import setjoin
 from ..operators import similarity as sim
 from ..operators.vectors import knn, knn_lsh, l2_normalize
 from . import sql as X
@@ -166,3 +167,47 @@ def exact_duplicates(spark, d):
     return sim.exact_duplicates(src.table(spark, d, "documents"), "text", "doc_id")
 
 
+
+
+_SETS = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')),
+  '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5
+  THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+m AS (SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END
+  AS class_id FROM s),
+e AS (SELECT doc_id AS id, len(s) AS n, unnest(s) AS x FROM m WHERE doc_id = class_id),
+p AS (SELECT a.id AS id_1, b.id AS id_2, count(*) AS shared, min(a.n) + min(b.n) - count(*) AS u
+  FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT id_1, id_2, shared, shared / u AS similarity FROM p WHERE shared / u >= 0.8)
+"""
+
+
+def _sets(spark, d):
+    return src.table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), setjoin.shingles("text").alias("s"))
+
+
+@query(_SETS + "SELECT id_1, id_2, shared, round(similarity, 6) AS similarity FROM l")
+def similar_texts(spark, d):
+    """Links between different texts of 0.8 or more on shingles of five words."""
+    return _rounded(setjoin.similar_sets(_sets(spark, d), "id", "s")[0])
+
+
+@query(_SETS + """, k AS (SELECT id, count(*) AS n FROM (SELECT id_1 AS id FROM l
+  UNION ALL SELECT id_2 FROM l) GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM m LEFT JOIN k ON k.id = class_id""")
+def similar_text_classes(spark, d):
+    """The class of equal shingles of each document, and the number of its links."""
+    links, members = setjoin.similar_sets(_sets(spark, d), "id", "s")
+    ends = links.select(F.explode(F.array("id_1", "id_2")).alias("class_id"))
+    return members.join(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")), "class_id",
+                        "left").select(F.col("id").alias("doc_id"), "class_id",
+                                       F.coalesce("n", F.lit(0)).alias("n_links"))
+
+
+@query()
+def shingle_recall(spark, d):
+    """What the hashed form finds of the exact links of ids divisible by 50."""
+    return setjoin.hashed_recall(_sets(spark, d), "id", "s",
+                                 queries=(F.col("id_1") % 50 == 0) | (F.col("id_2") % 50 == 0))
