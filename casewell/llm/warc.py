@@ -35,6 +35,8 @@ from .common import materialize, text_bytes
 ROLL_BYTES, HEADER_BYTES, DATE = 64 << 20, 400, "2024-01-01T00:00:00Z"
 #: Files at most, so that their bounds stay small on executors.
 MOST_FILES = 1_000_000
+#: Tasks that read an archive, at most.
+READ_TASKS = 10_000
 
 MEASURED = "page_id bigint, uid bigint, digest string, payload_bytes bigint, packed bigint"
 WRITTEN = "file string, records bigint, bytes bigint, sha256 string"
@@ -275,5 +277,11 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
 
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """Records of the files of a manifest: page_id, payload_bytes, payload_digest, record_type,
-    refers_to, file. Digests of blocks are checked."""
-    return manifest.select("file").repartition("file").mapInArrow(_read(folder), RECORDS)
+    refers_to, file. Digests of blocks are checked.
+
+    Files are dealt out in ranges of their names, one file a task up to READ_TASKS
+    tasks; the number is given, because rows of a few bytes would otherwise share one task. An
+    empty manifest gives no record."""
+    files = manifest.agg(F.count(F.lit(1))).first()[0]
+    return (manifest.select("file").repartitionByRange(max(1, min(files, READ_TASKS)), "file")
+            .mapInArrow(_read(folder), RECORDS))

@@ -405,7 +405,9 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     for n, parts in enumerate((1, 5)):
         folder = str(tmp_path / f"w{n}")
         manifest = warc.write_warc(pages.repartition(parts), folder, roll_bytes=900)
-        found = warc.read_warc(manifest, folder).collect()
+        read = warc.read_warc(manifest, folder)
+        assert read.rdd.getNumPartitions() == manifest.count()  # a file a task
+        found = read.collect()
         digests.append(sorted((r.file, r.sha256) for r in manifest.collect()))
         assert Counter(r.page_id for r in found) == Counter(r[0] for r in rows)
         kinds = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in found}
