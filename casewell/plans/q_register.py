@@ -34,6 +34,25 @@ def register_csv_roundtrip(spark, d):
                        .alias("created"))
 
 
+@query(REG + """SELECT complaint_id, category, status, resolution_days, is_duplicate,
+  concat('case ', complaint_id, chr(10), 'said "', category, '"', chr(10), chr(10), branch, ', ',
+    channel) AS complaint_text, strftime(created_date, '%Y-%m-%d %H:%M:%S') AS created FROM reg""")
+def register_split_csv(spark, d):
+    """The register with texts of several lines written as CSV and read back in blocks."""
+    path = scratch_path(spark, "register-lines")
+    text = F.concat(F.lit("case "), "complaint_id", F.lit('\nsaid "'), "category", F.lit('"\n\n'),
+                    "branch", F.lit(", "), "channel")
+    base = src.register(spark, d).withColumn("complaint_text", text)
+    for f in S.BASE_SCHEMA.fields:
+        if f.name not in base.columns:
+            base = base.withColumn(f.name, F.lit(None).cast(f.dataType))
+    src.write_register(base.select(S.BASE_SCHEMA.names), path, "csv")
+    rows, _ = src.read_register_split(spark, path, classified=False)
+    return rows.select("complaint_id", "category", "status", "resolution_days", "is_duplicate",
+                       "complaint_text",
+                       F.date_format("created_date", "yyyy-MM-dd HH:mm:ss").alias("created"))
+
+
 @query(REG + "SELECT strftime(created_date, '%Y-%m') AS month, count(*) AS n, "
        "count(DISTINCT complaint_id) AS ids FROM reg GROUP BY 1")
 def register_month_partitions(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.time import month_of, parse_created
+from .split_csv import read_split_csv
 
 
 def _text_date(schema: T.StructType) -> T.StructType:
@@ -36,6 +37,15 @@ def read_register(
     return raw.withColumn("created_date", parse_created("created_date"))
 
 
+def read_register_split(spark: SparkSession, path: str,
+                        classified: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(register, rejected records) of CSV files of any size, each read by many tasks although
+    texts hold line breaks. Rejected are (file, at, no, text), see `split_csv`."""
+    schema = S.REGISTER_SCHEMA if classified else S.BASE_SCHEMA
+    rows, broken = read_split_csv(spark, path, _text_date(schema))
+    return rows.withColumn("created_date", parse_created("created_date")), broken
+
+
 def read_register_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Month-partitioned register; a filter on `month` prunes directories."""
     return spark.read.parquet(path)
