@@ -114,8 +114,9 @@ def _least(n: int, total: str):
             count += pc.sum(table[total]).as_py() or 0
             if kept is not None:
                 table = pa.concat_tables([kept, table])
-            kept = table.take(pc.select_k_unstable(
-                table, min(n, table.num_rows), [("complaint_id", "ascending")])).combine_chunks()
+            # not select_k_unstable, which leaves out null ids
+            order = pc.sort_indices(table, [("complaint_id", "ascending")], null_placement="at_end")
+            kept = table.take(order[:n]).combine_chunks()
         if kept is not None and kept.num_rows:
             totals = pa.array([count] + [0] * (kept.num_rows - 1), pa.int64())
             at = kept.schema.get_field_index(total)
