@@ -144,3 +144,24 @@ def test_exact_duplicates(spark):
                                "complaint_id string, complaint_text string")
     got = {tuple(r) for r in sim.exact_duplicates(df).collect()}
     assert got == {("a", "a", 2), ("b", "a", 2)}
+
+
+@pytest.mark.parametrize("min_sim", [None, 0.3])
+def test_packs_are_exact_and_a_query_goes_to_each_once(spark, monkeypatch, min_sim):
+    """Vectors without structure reach every group; they are sent to packs of groups only."""
+    df = frame(spark, np.random.default_rng(5).standard_normal((600, 8)))
+    sent, compare = [], vec._compare
+    monkeypatch.setattr(vec, "_compare", lambda q, *a: sent.append(
+        q.agg(F.sum(F.size("groups"))).first()[0]) or compare(q, *a))
+    stored = [(r.id, r.embedding) for r in df.collect()]
+    got = vec.knn(df, df, 4, min_sim, block_rows=20, pack_rows=150).collect()
+    assert {(r.query_id, r.neighbour_id, r.rank) for r in got} == brute(stored, stored, 4, min_sim)
+    assert sum(sent) <= 600 * 6  # 600 rows in packs of 150 and a group's rest
+    sent.clear()
+    vec.knn(df, df, 4, min_sim, block_rows=20)
+    assert sum(sent) == 600  # one pack by default
+
+
+def test_pack_rows_are_bounded_by_memory():
+    assert vec._pack_rows(10**9, 64) * 64 <= vec.PACK_CELLS
+    assert vec._pack_rows(1000, 64) == vec.BLOCK_ROWS and vec._pack_rows(10, 10**8) == 1
