@@ -1,7 +1,7 @@
 from .corpus import read_corpus, read_chunks, write_chunks
 from .driver_tables import (
-    communications_log, escalation_requests, extension_requests, external_feed,
-    register, table, verdicts,
+    attach_text, communications_log, escalation_requests, extension_requests, external_feed,
+    register, register_texts, table, verdicts,
 )
 from .embeddings import read_embeddings, write_embeddings
 from .records import export_regulatory, to_records, write_drafts, write_pairs

@@ -182,6 +182,28 @@ def test_draft_without_policy(spark):
     assert got[2].customer_tone_tip == "Be professional."
 
 
+def test_draft_joins_shared_texts_last(spark):
+    """Texts by key give the drafts of a text column, and are shuffled for no other join."""
+    rows = spark.createDataFrame(
+        [(i, None if i == 5 else i % 2, "Credit Card", "Neutral", "Low") for i in range(6)],
+        "query_id long, text_key long, predicted_category string, predicted_sentiment string, "
+        "predicted_severity string")
+    texts = spark.createDataFrame([(0, "please help"), (1, "this is FRAUD")],
+                                  "text_key long, complaint_text string")
+    best = spark.createDataFrame([(1, "P", "rule")],
+                                 "query_id long, policy_source string, policy_text string")
+    near = spark.createDataFrame(
+        [(2, 7, "c", "x", "Low", 0.99, 1), (3, 8, "d", "x", "Low", 0.5, 1)],
+        "query_id long, neighbour_id long, complaint_id string, category string, severity string, "
+        "similarity double, rank int")
+    shown = ["query_id", "complaint_text", "draft_response", "regulatory_flag", "duplicate_found"]
+    late = policy.draft_response(rows, best, near, texts=texts).select(shown)
+    early = policy.draft_response(rows.join(texts, "text_key", "left"), best, near).select(shown)
+    assert sorted(map(str, late.collect())) == sorted(map(str, early.collect()))
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].startswith("+- Join") and "text_key" in plan.splitlines()[1]
+
+
 def test_product_mapping(spark):
     cases = {"Credit reporting": "Credit Card", "Debt collection": "Loan Services",
              "Mortgage": "Loan Services", "Checking or savings account": "Account Opening",
