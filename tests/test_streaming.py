@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casewell import schema as S
@@ -158,3 +159,69 @@ def test_deadline_timers(spark, tmp_path):
     due = int((at(5) - datetime(1970, 1, 1)).total_seconds() * 1000)
     assert fired == [("A", due)]
     assert S.SLA_HOURS["Critical"] == 4
+
+
+class _Handle:
+    """State of one key, counting calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_a_bucket_of_complaints_takes_few_state_calls():
+    """Thousands of complaints, ids that are null or repeat, resolved and moved deadlines."""
+    from casewell.streaming.timers import NEVER, DeadlineTimer
+
+    def events(rows):
+        out = pd.DataFrame(rows, columns=["complaint_id", "event_ms", "due_ms", "status"])
+        return [out.assign(event_time=pd.to_datetime(out["event_ms"], unit="ms"))]
+
+    handle, timers = _Handle(), DeadlineTimer()
+    timers.init(handle)
+    many = [(f"c{i}", 10, 1000 + i, "Open") for i in range(5000)] + [(None, 10, 2000, "Open")]
+    assert list(timers.handleInputRows((0,), iter(events(many)), _Now(0))) == []
+    later = [("c1", 20, NEVER, "Resolved"), ("c2", 20, 9000, "Open"), ("c3", 5, NEVER, "Resolved"),
+             ("c4", 20, NEVER, "tick")]
+    list(timers.handleInputRows((0,), iter(events(later)), _Now(0)))
+    assert handle.timers == {1000}
+    handle.timers.clear()
+    info = _Now(1000)
+    fired = pd.concat(timers.handleExpiredTimer((0,), _Now(2000), info))
+    want = {f"c{i}": 1000 + i for i in range(1001) if i not in (1, 2)} | {None: 2000}
+    assert dict(zip(fired["complaint_id"], fired["due_ms"])) == want and len(fired) == len(want)
+    assert handle.timers == {2001} and handle.calls < 15
+    assert list(timers.handleExpiredTimer((0,), _Now(2000), info)) == []  # no second time
