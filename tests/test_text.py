@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from casewell import functions as fn
@@ -262,3 +263,19 @@ def test_report_files(spark, sf001, tmp_path):
     src.write_pairs(spark.range(3), str(tmp_path / "pairs"), "csv")
     src.write_drafts(spark.range(3), str(tmp_path / "drafts"))
     assert spark.read.json(str(tmp_path / "drafts")).count() == 3
+
+
+def test_terms_are_counted_in_their_task(spark):
+    """Documents and occurrences of repeated terms, null texts and keys; no row an occurrence."""
+    rows = spark.createDataFrame(
+        [(1, "aa bb aa"), (2, "aa"), (3, None), (None, "bb bb"), (2, "aa cc"), (4, "")],
+        "id long, text string")
+    stats = cl.term_stats(rows, "text", max_n=1)
+    assert {r.term: (r["count"], r.df) for r in stats.collect()} == {
+        "aa": (4, 3), "bb": (3, 2), "cc": (1, 1)}
+    found = cl.counted_terms(rows.coalesce(1), "text", "id", max_n=1).collect()
+    assert sorted(map(str, found)) == sorted(map(str, [
+        Row(id=1, term="aa", tf=2), Row(id=1, term="bb", tf=1), Row(id=2, term="aa", tf=1),
+        Row(id=None, term="bb", tf=2), Row(id=2, term="aa", tf=1), Row(id=2, term="cc", tf=1)]))
+    for df in (stats, cl.tfidf_weights(rows, "text", "id")):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
