@@ -205,6 +205,27 @@ def test_draft_joins_shared_texts_last(spark):
     assert plan.splitlines()[1].startswith("+- Join") and "text_key" in plan.splitlines()[1]
 
 
+def test_keywords_are_looked_for_once_in_each_text(spark):
+    """Not in a text for each row that has it; in the text, the passage, in none, or without them."""
+    rows = spark.createDataFrame(
+        [(i, (i % 3) if i else None, "Credit Card", "Neutral", "Low") for i in range(8)],
+        "query_id long, text_key long, predicted_category string, predicted_sentiment string, "
+        "predicted_severity string")
+    texts = spark.createDataFrame([(0, "help"), (1, "a FRAUD"), (2, None)],
+                                  "text_key long, complaint_text string")
+    best = spark.createDataFrame([(3, "P", "no rule"), (5, "Q", "Penalty"), (4, "R", None)],
+                                 "query_id long, policy_source string, policy_text string")
+    late = policy.draft_response(rows, best, texts=texts)
+    early = policy.draft_response(rows.join(texts, "text_key", "left"), best)
+    shown = ["query_id", "regulatory_flag", "regulatory_reason"]
+    assert sorted(late.select(shown).collect()) == sorted(early.select(shown).collect())
+    assert {r.query_id for r in late.where("regulatory_flag").collect()} == {1, 4, 5, 7}
+    assert sorted(late.columns) == sorted(early.columns)
+    plan = late.select(shown)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert not any("Contains" in line for line in plan[:joins[0]])
+
+
 def test_product_mapping(spark):
     cases = {"Credit reporting": "Credit Card", "Debt collection": "Loan Services",
              "Mortgage": "Loan Services", "Checking or savings account": "Account Opening",
