@@ -165,3 +165,44 @@ def test_packs_are_exact_and_a_query_goes_to_each_once(spark, monkeypatch, min_s
 def test_pack_rows_are_bounded_by_memory():
     assert vec._pack_rows(10**9, 64) * 64 <= vec.PACK_CELLS
     assert vec._pack_rows(1000, 64) == vec.BLOCK_ROWS and vec._pack_rows(10, 10**8) == 1
+
+
+def test_blocks_give_the_best_in_double_precision(monkeypatch):
+    """Against all pairs: several blocks, floors, ties and values that single precision mixes up."""
+    monkeypatch.setattr(vec, "STEP_BASE", 16)
+    monkeypatch.setattr(vec, "STEP_QUERY", 8)
+    rng = np.random.default_rng(9)
+    q, b = rng.standard_normal((30, 6)).astype("f4"), rng.standard_normal((90, 6)).astype("f4")
+    b[40:60] = b[3] + rng.standard_normal((20, 6)).astype("f4") * 1e-4
+    b[70] = 2 * b[5]
+    q[:4] = b[3:7]
+    floor = np.where(np.arange(30) % 3 == 0, 0.2, -2.0)
+    sims = vec._unit_rows(q) @ vec._unit_rows(b).T
+    row, col, value = vec._best(q, b, 5, floor)
+    for i in range(30):
+        want = [x for x in np.lexsort((np.arange(90), -np.round(sims[i], 13)))[:5]
+                if sims[i, x] >= floor[i]]
+        assert list(col[row == i]) == want
+        assert np.abs(value[row == i] - sims[i, want]).max(initial=0) < 1e-12
+
+
+def test_a_threshold_does_not_list_k_rows_of_every_pack(spark, monkeypatch):
+    """The k-th best of the first pack is the floor in the others, also beside a low threshold."""
+    turn = np.random.default_rng(8).random(600) * math.pi / 2
+    df = frame(spark, np.stack([np.cos(turn), np.sin(turn)], axis=1))
+    found, compare = [], vec._compare
+    monkeypatch.setattr(vec, "_compare", lambda *a: found.append(compare(*a)) or found[-1])
+    unit = vec._unit_rows(np.array([r.embedding for r in df.orderBy("id").collect()]))
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    got = vec.knn(df, df, 4, -1.0, block_rows=600, pack_rows=30).orderBy("query_id", "rank")
+    assert np.allclose([r.similarity for r in got.collect()], -np.sort(-sims)[:, :4].ravel(), 0, 1e-12)
+    assert sum(f.count() for f in found) < 600 * 5 * 6  # of some 20 packs
+
+
+def test_large_tables_send_a_pack_to_fewer_pieces_of_queries(spark, monkeypatch):
+    df = frame(spark, np.random.default_rng(7).standard_normal((600, 4)))
+    rows, compare = [], vec._compare
+    monkeypatch.setattr(vec, "_compare", lambda *a: rows.append(a[3:]) or compare(*a))
+    vec.knn(df, df, 4, 0.5, block_rows=20, pack_rows=10).count()
+    assert rows == [(10, 40), (10, 40)]
